@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,5 +93,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def worker_store() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.modules.setdefault("_vantage_store", types.ModuleType("_vantage_store")).__dict__

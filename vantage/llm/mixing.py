@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, dense_position, table
+from .common import cut, table
 
 #: Blocks of near-equal words that each source's permuted documents form.
 BLOCKS = 512
@@ -53,10 +53,10 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     """
     unit = quotas.where("units > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).withColumn("node", F.lit(0).cast("long"))
     for level in range(shards.bit_length() - 1):
-        h = F.xxhash64(F.lit(f"level{level}"), "source", "unit")
-        unit = dense_position(unit, ["node"], [h, F.col("source"), F.col("unit")], F.struct("source", "unit"), 64, "at")
-        n = F.count(F.lit(1)).over(W.partitionBy("node"))
-        unit = unit.withColumn("node", F.col("node") * 2 + (F.col("at") >= F.floor((n + F.pmod("node", F.lit(2))) / 2)).cast("long")).drop("at")
+        own = W.partitionBy("node")
+        at = F.row_number().over(own.orderBy(F.xxhash64(F.lit(f"level{level}"), "source", "unit"), "source", "unit")) - 1
+        half = F.floor((F.count(F.lit(1)).over(own) + F.pmod("node", F.lit(2))) / 2)
+        unit = unit.select("source", "unit", (F.col("node") * 2 + (at >= half).cast("long")).alias("node"))
     got = unit.groupBy("source", F.col("node").cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     run = W.partitionBy("source").orderBy("shard")
     upto = F.sum("n").over(run)
@@ -68,8 +68,8 @@ def plan(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
 
     copies is an array of (epoch, shard, place), one for each time that the mix takes the document; taken is size
     times their number, at most `most` rounded up times the size. A source's words are taken epoch by epoch in blocks of its permuted
-    documents; of the last block, documents are taken in order while at least half of the next one is still wanted, so
-    the taken words end within half a document of the target. Shards draw disjoint runs of blocks (split_quotas) and
+    documents; of the last block, documents are taken in order while they fit whole, and then the one document of the
+    source that comes nearest to what is still missing. Shards draw disjoint runs of blocks (split_quotas) and
     place orders a shard's rows. All draws are hashes of the rows: reruns agree. Null sources form one source, last;
     null texts have size 0 and are taken with their block; an empty table gives no rows; a repeated row is permuted like any other.
     """
@@ -95,8 +95,16 @@ def plan(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     out = rows.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
     ahead = F.col("before") + F.coalesce(F.sum("size").over(W.partitionBy("source", "block").orderBy("perm", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = out.withColumn("copies", F.coalesce("copies", F.array().cast("array<struct<epoch:int,shard:int>>"))).withColumn("ahead", ahead)
-    last = F.col("touched") & (F.col("ahead") + F.col("size") / 2 <= F.col("rest"))
+    last = F.col("touched") & (F.col("ahead") + F.col("size") <= F.col("rest"))
     taken = F.filter("copies", lambda c: (c["epoch"] < F.col("full")) | last)
+    out = cut(out.select("doc_id", "source", "size", "source_size", "target", "full", "perm", "block", "ahead", taken.alias("copies")), "taken")
+    gap = out.groupBy("source").agg((F.first("target") - F.sum(F.size("copies") * F.col("size"))).alias("gap"))
+    near = out.where((F.size("copies") == F.col("full")) & (F.col("full") < most)).join(gap.select(F.col("source").alias("s"), "gap"), F.col("source").eqNullSafe(F.col("s")))
+    near = near.groupBy("s").agg(F.first("gap").alias("gap"), F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "perm", "block", "ahead", "doc_id", "size")).alias("best"))
+    near = near.where((F.col("best.off") < F.col("gap"))).select("s", F.col("best.perm").alias("p"), F.col("best.ahead").alias("a"), F.col("best.size").alias("z"))
+    out = out.join(near, F.col("source").eqNullSafe(F.col("s")) & (F.col("perm") == F.col("p")) & (F.col("ahead") == F.col("a")) & (F.col("size") == F.col("z")), "left")
+    more = F.array(F.struct(F.col("full").alias("epoch"), F.pmod(F.col("perm"), F.lit(shards)).cast("int").alias("shard")))
+    taken = F.when(F.col("p").isNotNull(), F.concat("copies", more)).otherwise(F.col("copies"))
     copies = F.transform(taken, lambda c: F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"), F.xxhash64(c["shard"], c["epoch"], F.col("perm")).alias("place")))
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), "copies", "perm")
 

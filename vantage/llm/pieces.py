@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_store
 
 MARK = "▁"
 #: A run of markers with the characters up to the next marker; a run at the end stands alone.
@@ -19,8 +19,6 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Chunks that a worker's table holds before it starts anew, and the longest chunk it keeps: its memory is bounded.
 TABLE_CHUNKS, KEPT_CHARS = 400_000, 256
 
-_loaded: dict = {}
-
 
 def public_model(name: str = "piece_bpe_32k.model") -> bytes:
     import public_tokenizers
@@ -78,11 +76,10 @@ class ChunkTable:
 
 
 def chunk_table(model: bytes) -> ChunkTable:
-    key = hash(model)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ChunkTable(model)
-    return _loaded[key]
+    kept = worker_store().get("pieces")
+    if kept is None or kept[0] != model:
+        kept = worker_store()["pieces"] = (model, ChunkTable(model))
+    return kept[1]
 
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
