@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-GRAM = 32
+GRAM = 24
 #: Windows of a piece that hashes are computed for at once, and bytes of segments that share one suffix array.
 PIECE, ARRAY_BYTES = 1 << 19, 1 << 20
 NO_ID = (1 << 63) - 1
@@ -30,12 +30,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position."""
-    h, base, n = b.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15 | 1, 1
-    while n < GRAM:
+    """A hash of the GRAM bytes from each position, put together from those of 8 and 16 bytes."""
+    h, base, n = b.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
+    while n < 16:
+        eight, base8 = (h, base) if n == 8 else (None, None)
         h = h[:-n] * np.uint64(base) + h[n:]
         base, n = base * base & 0xFFFFFFFFFFFFFFFF, 2 * n
-    return mixed(h)
+    return mixed(h[:-8] * np.uint64(base8) + eight[16:])
 
 
 def anchored_runs(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,10 +54,11 @@ def anchored_runs(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, t, text) -> route, h, doc, t, a, n, twice: the runs of all documents.
+    """(doc, t, text) -> h, doc, t, x: the runs of all documents. x packs the first window (from bit 18), the number of
+    windows (from bit 2) and two flags, `led` (2) and `twice` (1).
 
-    Of the runs of one batch with the same h only the first is routed by h, and `twice` tells whether there were
-    others; so a very frequent anchor sends one row from each batch to its task. The others are routed by themselves.
+    Of the runs of one batch with the same h only the first is to be routed by h, and `twice` tells whether there were
+    others, which are `led`; so a very frequent anchor sends one row from each batch to its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,42 +98,48 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             lead = np.zeros(len(h), bool)
             lead[first] = True
-            route = np.where(lead, h, mixed((doc[row] * 1_000_003 + a).view(np.uint64)).view(np.int64))
+            x = a << 18 | n << 2 | np.where(lead, 0, 2) | (count[back] > 1)
             for s in range(0, len(h), 200_000):
                 k = slice(s, s + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route[k], h[k], doc[row[k]], t[row[k]], a[k], n[k].astype(np.int32), ~lead[k], count[back[k]] > 1)], names=["route", "h", "doc", "t", "a", "n", "led", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[k], doc[row[k]], t[row[k]], x[k])], names=["h", "doc", "t", "x"])
 
-    return docs.mapInArrow(run, "route long, h long, doc long, t long, a long, n int, led boolean, twice boolean")
+    return docs.mapInArrow(run, "h long, doc long, t int, x long")
 
 
 def repeated(runs: DataFrame) -> DataFrame:
-    """h, doc, t, a, n of the runs whose anchor is found more than once."""
+    """doc, t, x of the runs whose anchor is found more than once; x packs the first window (from bit 16) and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, held = None, None
-        names = ["h", "doc", "t", "a", "n"]
+
+        def packed(t: pa.Table | pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+            doc, u, x = (t.column(c).to_numpy()[: len(keep)][keep] for c in ("doc", "t", "x"))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(u), pa.array(x >> 2)], names=["doc", "t", "x"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            h = np.where(t.column("led").to_numpy(), -1, t.column("h").to_numpy())
+            x = t.column("x").to_numpy()
+            h = np.where(x & 2, -1, t.column("h").to_numpy())
             same = (h[1:] == h[:-1]) & (h[1:] != -1)
-            stay = t.column("twice").to_numpy() | np.r_[before is not None and h[0] == before, same] | np.r_[same, False]
+            stay = (x & 1 == 1) | np.r_[h[0] != -1 and h[0] == before, same] | np.r_[same, False]
             held = t.slice(len(h) - 1).to_batches()[0]
             before = h[-2] if len(h) > 1 else before
-            yield t.slice(0, len(h) - 1).filter(pa.array(stay[:-1])).select(names).combine_chunks().to_batches(max_chunksize=1 << 20)[0] if stay[:-1].any() else batch.slice(0, 0).select(names)
+            yield packed(t, stay[:-1])
         if held is not None:
-            h = -1 if held.column("led")[0].as_py() else held.column("h")[0].as_py()
-            if held.column("twice")[0].as_py() or (h != -1 and h == before):
-                yield held.select(names)
+            x, h = held.column("x")[0].as_py(), held.column("h")[0].as_py()
+            yield packed(held, np.array([bool(x & 1) or (not x & 2 and h == before)]))
 
-    return runs.repartition("route").sortWithinPartitions("led", "route").mapInArrow(run, "h long, doc long, t long, a long, n int")
+    led = F.col("x").bitwiseAND(F.lit(2)) != 0
+    dealt = runs.repartition(F.when(led, F.xxhash64("doc", "x")).otherwise(F.col("h"))).sortWithinPartitions(led, "h")
+    return dealt.mapInArrow(run, "doc long, t int, x long")
 
 
 def segments(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """route, h, content, doc, t, a, size: the bytes of the runs. Of equal bytes in a batch only the first run carries
-    them; the others, known to be later ones, have null content and are routed by themselves."""
-    lists = found.groupBy("doc", "t").agg(F.collect_set(F.struct("a", "n", "h")).alias("runs"))
+    """h, content, doc, t, a, size: the bytes of the runs. Of equal bytes in a batch only the first run carries them; the
+    others, known to be later ones, have null content."""
+    lists = found.groupBy("doc", "t").agg(F.collect_set("x").alias("runs"))
     both = docs.join(lists, ["doc", "t"]).select("doc", "t", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,34 +147,32 @@ def segments(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             first: dict = {}
             rows: list = []
             doc, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lists = batch.column(3)
-            ends, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
-            a, n, h = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = 0
-            for i, m in enumerate(ends):
-                raw = batch.column(2)[i].as_py().encode()
-                for x, k, g in zip(a[at : at + m].tolist(), n[at : at + m].tolist(), h[at : at + m].tolist(), strict=True):
-                    piece, ref = raw[x : x + k + length - 1], (doc[i], t[i], x)
+            for i, (text, runs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                raw, x = text.as_py().encode(), np.sort(runs.values.to_numpy())
+                a, n = x >> 16, x & 0xFFFF
+                b, h = np.frombuffer(raw, np.uint8), np.empty(len(a), np.int64)
+                for at in range(0, len(raw) - length + 1, PIECE):
+                    mine = slice(*np.searchsorted(a, (at, at + PIECE)))
+                    if mine.start < mine.stop:
+                        key, first_of, _ = anchored_runs(b[at : at + PIECE + length - 1], length)
+                        h[mine] = key[np.searchsorted(first_of, a[mine] - at, "right") - 1]
+                for p, k, g in zip(a.tolist(), n.tolist(), h.tolist(), strict=True):
+                    piece, ref = raw[p : p + k + length - 1], (doc[i], t[i], p)
                     old = first.get(piece)
                     if old is None:
                         first[piece] = (ref, g)
                     elif ref < old[0]:
-                        rows.append((old[1], None, old[0], len(piece)))
+                        rows.append((g, None, old[0], len(piece)))
                         first[piece] = (ref, g)
                     elif ref > old[0]:
                         rows.append((g, None, ref, len(piece)))
-                at += m
             rows += [(g, p, ref, len(p)) for p, (ref, g) in first.items()]
             del first
             for s in range(0, len(rows), 20_000):
                 part = rows[s : s + 20_000]
-                refs = np.array([r[2] for r in part], np.int64)
-                h = np.array([r[0] for r in part], np.int64)
-                later = np.array([r[1] is None for r in part])
-                route = np.where(later, mixed((refs[:, 0] * 1_000_003 + refs[:, 2]).view(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(h), pa.array([r[1] for r in part], pa.binary()), *(pa.array(np.ascontiguousarray(refs[:, i])) for i in range(3)), pa.array([r[3] for r in part], pa.int32())], names=["route", "h", "content", "doc", "t", "a", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), *(pa.array([r[2][i] for r in part], k) for i, k in enumerate([pa.int64(), pa.int32(), pa.int64()])), pa.array([r[3] for r in part], pa.int32())], names=["h", "content", "doc", "t", "a", "size"])
 
-    return both.mapInArrow(run, "route long, h long, content binary, doc long, t long, a long, size int")
+    return both.mapInArrow(run, "h long, content binary, doc long, t int, a long, size int")
 
 
 def window_classes(b: np.ndarray, length: int) -> np.ndarray:
@@ -252,7 +258,7 @@ def spans(pieces: DataFrame, length: int) -> DataFrame:
 
         def packed(rows: list) -> pa.RecordBatch:
             x = np.array(rows, np.int64).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(4)], names=["doc", "t", "at", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i]), k) for i, k in enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["doc", "t", "at", "size"])
 
         for batch in batches:
             for h, content, doc, t, a, size in zip(*(batch.column(c).to_pylist() for c in ("h", "content", "doc", "t", "a", "size")), strict=True):
@@ -282,7 +288,8 @@ def spans(pieces: DataFrame, length: int) -> DataFrame:
             solve()
         yield packed(out)
 
-    return pieces.repartition("route").sortWithinPartitions("h", "content", "doc", "t", "a").mapInArrow(run, "doc long, t long, at long, size long")
+    route = F.when(F.col("content").isNull(), F.xxhash64("doc", "a")).otherwise(F.col("h"))
+    return pieces.repartition(route).sortWithinPartitions("h", "content", "doc", "t", "a").mapInArrow(run, "doc long, t int, at long, size long")
 
 
 def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -294,18 +301,26 @@ def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     its equal rows are one document, whose rows get the same result. An empty table gives no rows.
     """
     # The text's hash joins with doc_id, so rows that share a doc_id stay apart.
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated(anchors(keyed, length))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("t"), text.alias("text"))
+    # Whole copies are found by a 128-bit hash; only the first of them is looked into, of the others all bytes go.
+    whole = cut(keyed.select("doc", "t", F.octet_length("text").alias("size"), F.xxhash64("text").alias("w1"), F.xxhash64(F.lit("w"), "text").alias("w2")).where(F.col("size") >= length), "whole")
+    copies = whole.groupBy("size", "w1", "w2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = cut(whole.join(copies, ["size", "w1", "w2"]).where("doc > first").select("doc", "t").distinct(), "later")
+    found = repeated(anchors(keyed.join(later, ["doc", "t"], "left_anti").select("doc", "t", "text"), length))
     gone = spans(segments(found, keyed, length), length).groupBy("doc", "t").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
-    both = keyed.join(gone, ["doc", "t"], "left").select("doc", "text", "gone")
+    both = keyed.join(gone, ["doc", "t"], "left").join(later.withColumn("copy", F.lit(True)), ["doc", "t"], "left").select("doc", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 rows = []
-                for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+                for text, gone, copy in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                     raw, gone = text.as_py().encode(), gone.as_py()
+                    if copy.as_py():
+                        rows.append((len(raw), len(raw), 1, b""))
+                        continue
                     if not gone:
                         rows.append((len(raw), 0, 0, raw))
                         continue
