@@ -15,7 +15,7 @@ from .common import table, worker_store
 
 MARK = "▁"
 #: A run of markers with the characters up to the next marker; a run at the end stands alone.
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
 #: Chunks that a worker's table holds before it starts anew, and the longest chunk it keeps: its memory is bounded.
 TABLE_CHUNKS, KEPT_CHARS = 400_000, 256
 
@@ -55,7 +55,8 @@ class ChunkTable:
         self.ids: dict[str, list[int]] = {}
 
     def segment(self, chunk: str) -> list[int]:
-        ids = self.sp.encode(chunk[1:])  # the library puts the first marker back
+        # The library puts the first marker back, but not before nothing.
+        ids = [self.sp.piece_to_id(MARK)] if chunk == MARK else self.sp.encode(chunk[1:])
         if len(chunk) <= KEPT_CHARS:
             if len(self.ids) >= TABLE_CHUNKS:
                 self.ids.clear()

@@ -59,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
     groups = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     linked = cut(rows.join(groups.select("g1", "g2"), ["g1", "g2"], "left_semi"), "linked")
     single = rows.join(groups.select("g1", "g2"), ["g1", "g2"], "left_anti")
-    labels = propagate(linked, total / shards, shards, rounds)
+    labels = propagate(linked, max(1, total) / shards, shards, rounds)
     quota = [total // shards + (i < total % shards) for i in range(shards)]
     limit = F.array(*(F.lit(q) for q in quota))
     placed = dense_position(labels, ["label"], [F.col("perm"), F.col("doc_id")], F.struct("g1", "g2"), max(4, buckets // shards), "at")
