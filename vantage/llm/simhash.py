@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import connected_components, cut, discard, small_side, table
 
@@ -212,10 +211,14 @@ def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int) ->
             out = out[:, np.r_[True, (out[:2, 1:] != out[:2, :-1]).any(0)]]
             start = np.flatnonzero(np.r_[True, out[0, 1:] != out[0, :-1]])
             out = out[:, np.arange(out.shape[1]) - np.repeat(start, np.diff(np.r_[start, out.shape[1]])) < k]
-        return pa.table({"u": out[0], "v": out[1], "d": out[2]})
-
-    links = dealt(nodes, masks).groupBy("grp").applyInArrow(run, "u long, v long, d long").distinct()
-    return links.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where(F.col("r") <= k).drop("r")
+        start = np.flatnonzero(np.r_[out.shape[1] > 0, out[0, 1:] != out[0, :-1]])
+        near = pa.ListArray.from_arrays(pa.array(np.r_[start, out.shape[1]], pa.int32()), pa.StructArray.from_arrays([pa.array(out[2]), pa.array(out[1])], names=["d", "v"]))
+        return pa.table({"u": pa.array(out[0, start]), "near": near})
+
+    # A group returns one row for each id, with its list; the lists of an id are merged before they become pairs.
+    lists = dealt(nodes, masks).groupBy("grp").applyInArrow(run, "u long, near array<struct<d:long,v:long>>")
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    return lists.groupBy("u").agg(best.alias("near")).select("u", F.explode("near").alias("x")).select("u", "x.v", "x.d")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
