@@ -95,6 +95,27 @@ def test_near_duplicates(spark):
     assert sorted(x for x in kept if x is not None) == [10 * k for k in range(12)] + [1001] and kept.count(None) == 1
 
 
+def test_near_duplicates_check_every_candidate(spark):
+    rng = random.Random(5)
+    rows = []
+    for doc in range(50):
+        # Runs of variants that share most words, so that many candidates lie nearer than the true partner.
+        words = [f"w{i}" for i in range(60)] if not rows or rng.random() < 0.2 else rng.choice(rows)[1].split()
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((doc, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    want = list(range(len(rows)))
+    for u in range(len(rows)):
+        for v in range(u):
+            if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+                a, b = sorted((want[u], want[v]))
+                want = [a if w == b else w for w in want]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, simhash.near_duplicate_groups(docs, radius=64, tables=1, key_bits=0, nearest=1, most=64).collect()))
+    assert len(set(want)) > 5 and [got.get(d, d) for d, _ in rows] == want
+
+
 def test_embedding_edges(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 16))

@@ -39,23 +39,25 @@ def fingerprint_of(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), and c1, c2: a 128-bit hash of the lower-cased word sequence.
+    """doc_id, fp (the 64 bits as a signed long), m (distinct shingles), and c1, c2: a 128-bit hash of the lower-cased
+    word sequence.
 
     Null texts count as empty. Rows are taken as they are: repeated doc_ids stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.empty(batch.num_rows, np.uint64)
+            fp, m = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32)
             c = np.empty((batch.num_rows, 2), np.uint64)
             for i, t in enumerate(batch.column(1)):
                 raw = (t.as_py() or "").encode()
-                fp[i] = fingerprint_of(shingle_hashes(raw, words))
+                h = shingle_hashes(raw, words)
+                fp[i], m[i] = fingerprint_of(h), len(np.unique(h))
                 x = xxhash.xxh3_128_intdigest(b" ".join(raw.lower().split()))
                 c[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1])))], names=["doc_id", "fp", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]))), pa.array(m)], names=["doc_id", "fp", "c1", "c2", "m"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, c1 long, c2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, c1 long, c2 long, m int")
 
 
 def pigeonhole_masks(radius: int, blocks: int) -> list[int]:
@@ -166,22 +168,22 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int,
 
 
 def dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """nodes (id, fp) -> rows (grp, key, id, fp, side): every bucket of every table meets in one grp, or, if it is
-    larger than CHUNK, in one grp for each pair of its chunks."""
-    spark = nodes.sparkSession
+    """nodes (id, fp, more columns) -> rows (grp, key, side and the nodes' columns): every bucket of every table meets in
+    one grp, or, if it is larger than CHUNK, in one grp for each pair of its chunks."""
+    spark, own = nodes.sparkSession, nodes.columns
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = nodes.select("id", "fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")).select("id", "fp", F.xxhash64("x.t", "x.k").alias("key"))
+    rows = nodes.select(*own, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")).select(*own, F.xxhash64("x.t", "x.k").alias("key"))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(masks) // GROUP_ROWS)
     large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large")
     usual = F.pmod(F.col("key"), F.lit(groups))
     if large.isEmpty():
-        return rows.select(usual.alias("grp"), "key", "id", "fp", F.lit(0).alias("side"))
-    rows = rows.join(small_side(large), "key", "left").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("id", F.lit(3)), F.col("m")).cast("int"))
-    met = F.when(F.col("m").isNull(), F.array(F.struct(usual.alias("grp"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.xxhash64("key", F.least("c", j), F.greatest("c", j)).alias("grp"), (F.col("c") > j).cast("int").alias("side")))
+        return rows.select(usual.alias("grp"), "key", *own, F.lit(0).alias("side"))
+    rows = rows.join(small_side(large), "key", "left").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int"))
+    met = F.when(F.col("chunks").isNull(), F.array(F.struct(usual.alias("grp"), F.lit(0).alias("side")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.xxhash64("key", F.least("c", j), F.greatest("c", j)).alias("grp"), (F.col("c") > j).cast("int").alias("side")))
     )
-    return rows.select("key", "id", "fp", F.explode(met).alias("x")).select("x.grp", "key", "id", "fp", "x.side")
+    return rows.select("key", *own, F.explode(met).alias("x")).select("x.grp", "key", *own, "x.side")
 
 
 def star_edges(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
@@ -198,27 +200,37 @@ def star_edges(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return dealt(nodes, masks).groupBy("grp").applyInArrow(run, "u long, v long")
 
 
-def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int) -> DataFrame:
-    """nodes (id, fp) -> (u, v, d): for each id the k nearest smaller ids of its buckets in the radius, ties to the smaller."""
+def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int, similarity: float) -> DataFrame:
+    """nodes (id, fp, m) -> (u, v, d, more): for each id the k nearest smaller ids of its buckets in the radius, ties to
+    the smaller. Pairs whose counts of shingles rule the similarity out are no candidates. more: u has others beyond v.
+
+    With columns comp, cd, cv only candidates of another comp count, and only those that come after (cd, cv).
+    """
+    columns = ["key", "id", "fp", "side", "m"] + [c for c in ("comp", "cd", "cv") if c in nodes.columns]
 
     def run(t: pa.Table) -> pa.Table:
-        key, ids, fp, side = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "id", "fp", "side"))
+        key, ids, fp, side, m, *state = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns)
         fp, out = fp.view(np.uint64), np.empty((3, 0), np.int64)
         for i, j in bucket_links(key, fp, side, radius):
-            new = np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)])
-            out = np.concatenate([out, new], axis=1)
+            i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+            d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+            fits = np.minimum(m[i], m[j]) >= similarity * np.maximum(m[i], m[j]) - 1e-9
+            if state:
+                comp, cd, cv = state
+                fits &= (comp[i] != comp[j]) & ((d > cd[i]) | (d == cd[i]) & (ids[j] > cv[i]))
+            out = np.concatenate([out, np.stack([ids[i], ids[j], d])[:, fits]], axis=1)
             out = out[:, np.lexsort((out[1], out[2], out[0]))]
-            out = out[:, np.r_[True, (out[:2, 1:] != out[:2, :-1]).any(0)]]
-            start = np.flatnonzero(np.r_[True, out[0, 1:] != out[0, :-1]])
-            out = out[:, np.arange(out.shape[1]) - np.repeat(start, np.diff(np.r_[start, out.shape[1]])) < k]
+            out = out[:, np.r_[True, (out[:2, 1:] != out[:2, :-1]).any(0)][: out.shape[1]]]
+            start = np.flatnonzero(np.r_[True, out[0, 1:] != out[0, :-1]][: out.shape[1]])
+            out = out[:, np.arange(out.shape[1]) - np.repeat(start, np.diff(np.r_[start, out.shape[1]])) <= k]
         start = np.flatnonzero(np.r_[out.shape[1] > 0, out[0, 1:] != out[0, :-1]])
         near = pa.ListArray.from_arrays(pa.array(np.r_[start, out.shape[1]], pa.int32()), pa.StructArray.from_arrays([pa.array(out[2]), pa.array(out[1])], names=["d", "v"]))
         return pa.table({"u": pa.array(out[0, start]), "near": near})
 
-    # A group returns one row for each id, with its list; the lists of an id are merged before they become pairs.
+    # A group returns one row for each id, with its k + 1 nearest; the lists of an id are merged before they become pairs.
     lists = dealt(nodes, masks).groupBy("grp").applyInArrow(run, "u long, near array<struct<d:long,v:long>>")
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return lists.groupBy("u").agg(best.alias("near")).select("u", F.explode("near").alias("x")).select("u", "x.v", "x.d")
+    best = lists.groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    return best.select("u", F.explode(F.slice("near", 1, k)).alias("x"), (F.size("near") > k).alias("more")).select("u", "x.v", "x.d", "more")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
@@ -254,22 +266,37 @@ def shingle_jaccard(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, jaccard double")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 40, key_bits: int = 12, nearest: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 40, key_bits: int = 12, nearest: int = 4, most: int = 256) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group) for documents that share a group with an earlier one or are its first.
 
-    Equal word sequences are one node. Nodes of a sampled-bit bucket meet bit-sliced; each node's `nearest` closest
-    earlier nodes in the radius are checked by the exact similarity of their shingle sets, and chains of checked pairs
-    form the groups. Rows without doc_id take no part. Documents alone in their group are not returned.
+    Equal word sequences are one node. Nodes of a sampled-bit bucket meet bit-sliced; earlier nodes in the radius are
+    candidates, checked by the exact similarity of their shingle sets, and chains of checked pairs form the groups.
+    Each node's `nearest` closest candidates are checked first. Rounds for nodes with more go on behind the last one
+    checked, by four times as many at a time and at most `most`, until no candidate outside its node's group is left, so
+    no candidate is dropped. Rows without doc_id take no part. Documents alone in their group are not returned.
+    tables=1, key_bits=0, radius=64 makes every pair that the counts of shingles allow a candidate.
     """
-    docs = docs.where("doc_id is not null")
+    docs, masks = docs.where("doc_id is not null"), sampled_masks(tables, key_bits)
     prints = cut(fingerprints(docs, words), "prints")
-    nodes = cut(prints.groupBy("c1", "c2", "fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    pairs = cut(nearest_earlier(nodes.select("id", "fp"), sampled_masks(tables, key_bits), radius, nearest), "pairs")
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    good = shingle_jaccard(pairs, cut(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ends"), words).where(F.col("jaccard") >= similarity)
-    comp = cut(connected_components(good.select("u", "v")).select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
+    nodes = cut(prints.groupBy("c1", "c2", "fp", "m").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    state, links, k = nodes.select("id", "fp", "m"), None, nearest
+    while True:
+        pairs = cut(nearest_earlier(state, masks, radius, k, similarity), "pairs")
+        ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        texts = cut(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ends")
+        good = shingle_jaccard(pairs, texts, words).where(F.col("jaccard") >= similarity).select("u", "v")
+        comp = cut(connected_components(good if links is None else good.union(links)).select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
+        waiting = pairs.where("more").groupBy("u").agg(F.max(F.struct("d", "v")).alias("x")).withColumnRenamed("u", "id")
+        done = waiting.isEmpty()
+        if not done:
+            # Nodes that wait for nothing get a mark beyond every distance.
+            state = cut(nodes.select("id", "fp", "m").join(comp, "id", "left").join(waiting, "id", "left").select("id", "fp", "m", F.coalesce("group_id", "id").alias("comp"), F.coalesce("x.d", F.lit(BITS + 1)).cast("long").alias("cd"), F.coalesce("x.v", F.lit(0)).cast("long").alias("cv")), "state")
+        discard(pairs)
+        discard(texts)
+        if done:
+            break
+        links, k = comp.select(F.col("id").alias("u"), F.col("group_id").alias("v")), min(4 * k, most)
     copies = nodes.join(comp, "id", "left").where("n > 1 or group_id is not null").select("c1", "c2", "fp", F.coalesce("group_id", "id").alias("group_id"))
-    discard(pairs)
     return prints.join(copies, ["c1", "c2", "fp"]).select("doc_id", "group_id")
 
 
