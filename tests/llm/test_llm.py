@@ -116,6 +116,17 @@ def test_near_duplicates_check_every_candidate(spark):
     assert len(set(want)) > 5 and [got.get(d, d) for d, _ in rows] == want
 
 
+def test_sketch_never_rules_out_a_similar_pair():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(60, 300)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(120)]
+    m, sketch = np.array([len(h) for h in sets], np.int32), list(np.array([simhash.sketch_of(h) for h in sets]).T)
+    i, j = np.triu_indices(len(sets), 1)
+    may = simhash.may_be_similar(m, sketch, i, j, 0.8)
+    jaccard = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert may[jaccard >= 0.8].all() and not may.all()
+
+
 def test_embedding_edges(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 16))

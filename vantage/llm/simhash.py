@@ -16,6 +16,8 @@ from .common import connected_components, cut, discard, small_side, table
 BITS = 64
 #: Rows of a bucket that meet in one kernel call; larger buckets are dealt as pairs of such chunks.
 CHUNK = 4096
+#: Columns of a node's sketch, 64 bits each: a bit is set if any distinct shingle's hash falls on it.
+SKETCH = ("s0", "s1", "s2", "s3")
 #: Rows that one group of small buckets holds on average.
 GROUP_ROWS = 60_000
 
@@ -38,9 +40,24 @@ def fingerprint_of(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """The bits of SKETCH for the distinct hashes h. A bit that another set lacks stands for at least one hash it lacks."""
+    bits = np.zeros(64 * len(SKETCH), np.uint8)
+    bits[h % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def may_be_similar(m: np.ndarray, sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j, of m shingles each, can reach the similarity; never False for a pair that does. The sketch
+    is unsigned: bits of negative numbers are counted by their absolute value."""
+    only_i, only_j = (sum(np.bitwise_count(s[a] & ~s[b]).astype(np.int64) for s in sketch) for a, b in ((i, j), (j, i)))
+    same = np.minimum(m[i] - only_i, m[j] - only_j)
+    return same >= similarity * (m[i].astype(np.int64) + m[j] - same) - 1e-6
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), m (distinct shingles), and c1, c2: a 128-bit hash of the lower-cased
-    word sequence.
+    """doc_id, fp (the 64 bits as a signed long), m (distinct shingles), their SKETCH, and c1, c2: a 128-bit hash of the
+    lower-cased word sequence.
 
     Null texts count as empty. Rows are taken as they are: repeated doc_ids stay.
     """
@@ -48,16 +65,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, m = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32)
-            c = np.empty((batch.num_rows, 2), np.uint64)
+            c, sketch = np.empty((batch.num_rows, 2), np.uint64), np.empty((batch.num_rows, len(SKETCH)), np.uint64)
             for i, t in enumerate(batch.column(1)):
                 raw = (t.as_py() or "").encode()
                 h = shingle_hashes(raw, words)
-                fp[i], m[i] = fingerprint_of(h), len(np.unique(h))
+                fp[i], h = fingerprint_of(h), np.unique(h)
+                m[i], sketch[i] = len(h), sketch_of(h)
                 x = xxhash.xxh3_128_intdigest(b" ".join(raw.lower().split()))
                 c[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]))), pa.array(m)], names=["doc_id", "fp", "c1", "c2", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]))), pa.array(m), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T)], names=["doc_id", "fp", "c1", "c2", "m", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, c1 long, c2 long, m int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, c1 long, c2 long, m int, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def pigeonhole_masks(radius: int, blocks: int) -> list[int]:
@@ -201,20 +219,20 @@ def star_edges(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 
 def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int, similarity: float) -> DataFrame:
-    """nodes (id, fp, m) -> (u, v, d, more): for each id the k nearest smaller ids of its buckets in the radius, ties to
-    the smaller. Pairs whose counts of shingles rule the similarity out are no candidates. more: u has others beyond v.
+    """nodes (id, fp, m, SKETCH) -> (u, v, d, more): for each id the k nearest smaller ids of its buckets in the radius,
+    ties to the smaller. Pairs that their sketches rule out are no candidates. more: u has others beyond v.
 
     With columns comp, cd, cv only candidates of another comp count, and only those that come after (cd, cv).
     """
-    columns = ["key", "id", "fp", "side", "m"] + [c for c in ("comp", "cd", "cv") if c in nodes.columns]
+    columns = ["key", "id", "fp", "side", "m", *SKETCH] + [c for c in ("comp", "cd", "cv") if c in nodes.columns]
 
     def run(t: pa.Table) -> pa.Table:
         key, ids, fp, side, m, *state = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns)
-        fp, out = fp.view(np.uint64), np.empty((3, 0), np.int64)
+        fp, sketch, state, out = fp.view(np.uint64), [s.view(np.uint64) for s in state[: len(SKETCH)]], state[len(SKETCH) :], np.empty((3, 0), np.int64)
         for i, j in bucket_links(key, fp, side, radius):
             i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
             d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
-            fits = np.minimum(m[i], m[j]) >= similarity * np.maximum(m[i], m[j]) - 1e-9
+            fits = may_be_similar(m, sketch, i, j, similarity)
             if state:
                 comp, cd, cv = state
                 fits &= (comp[i] != comp[j]) & ((d > cd[i]) | (d == cd[i]) & (ids[j] > cv[i]))
@@ -274,12 +292,12 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     Each node's `nearest` closest candidates are checked first. Rounds for nodes with more go on behind the last one
     checked, by four times as many at a time and at most `most`, until no candidate outside its node's group is left, so
     no candidate is dropped. Rows without doc_id take no part. Documents alone in their group are not returned.
-    tables=1, key_bits=0, radius=64 makes every pair that the counts of shingles allow a candidate.
+    tables=1, key_bits=0, radius=64 makes every pair that the sketches allow a candidate.
     """
     docs, masks = docs.where("doc_id is not null"), sampled_masks(tables, key_bits)
     prints = cut(fingerprints(docs, words), "prints")
-    nodes = cut(prints.groupBy("c1", "c2", "fp", "m").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    state, links, k = nodes.select("id", "fp", "m"), None, nearest
+    nodes = cut(prints.groupBy("c1", "c2", "fp", "m", *SKETCH).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    state, links, k = nodes.select("id", "fp", "m", *SKETCH), None, nearest
     while True:
         pairs = cut(nearest_earlier(state, masks, radius, k, similarity), "pairs")
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -290,7 +308,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         done = waiting.isEmpty()
         if not done:
             # Nodes that wait for nothing get a mark beyond every distance.
-            state = cut(nodes.select("id", "fp", "m").join(comp, "id", "left").join(waiting, "id", "left").select("id", "fp", "m", F.coalesce("group_id", "id").alias("comp"), F.coalesce("x.d", F.lit(BITS + 1)).cast("long").alias("cd"), F.coalesce("x.v", F.lit(0)).cast("long").alias("cv")), "state")
+            state = cut(nodes.select("id", "fp", "m", *SKETCH).join(comp, "id", "left").join(waiting, "id", "left").select("id", "fp", "m", *SKETCH, F.coalesce("group_id", "id").alias("comp"), F.coalesce("x.d", F.lit(BITS + 1)).cast("long").alias("cd"), F.coalesce("x.v", F.lit(0)).cast("long").alias("cv")), "state")
         discard(pairs)
         discard(texts)
         if done:
