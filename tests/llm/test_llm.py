@@ -68,6 +68,9 @@ def test_bit_sliced_links(radius, monkeypatch):
     got = {(min(i, j), max(i, j)) for u, v in simhash.bucket_links(key, fp, side, radius, batch=256) for i, j in zip(u.tolist(), v.tolist())}
     want = {(i, j) for i in range(400) for j in range(i + 1, 400) if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= radius and (key[i] != 3 or side[i] != side[j])}
     assert got == want
+    asking = rng.random(400) < 0.2
+    some = {(min(i, j), max(i, j)) for u, v in simhash.bucket_links(key, fp, side, radius, asking, batch=256) for i, j in zip(u.tolist(), v.tolist())}
+    assert some == {(i, j) for i, j in want if asking[i] or asking[j]}
 
 
 def test_simhash_large_buckets_and_edges(spark, monkeypatch):
@@ -95,7 +98,7 @@ def test_near_duplicates(spark):
     assert sorted(x for x in kept if x is not None) == [10 * k for k in range(12)] + [1001] and kept.count(None) == 1
 
 
-def test_near_duplicates_check_every_candidate(spark):
+def test_near_duplicates_check_every_candidate(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
     for doc in range(50):
@@ -114,6 +117,9 @@ def test_near_duplicates_check_every_candidate(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = dict(map(tuple, simhash.near_duplicate_groups(docs, radius=64, tables=1, key_bits=0, nearest=1, most=64).collect()))
     assert len(set(want)) > 5 and [got.get(d, d) for d, _ in rows] == want
+    for name, value in (("CHUNK", 8), ("FAMILY", 3), ("GROUP_TEXTS", 10)):
+        monkeypatch.setattr(simhash, name, value)
+    assert dict(map(tuple, simhash.near_duplicate_groups(docs, radius=64, tables=1, key_bits=0, nearest=1, most=64).collect())) == got
 
 
 def test_sketch_never_rules_out_a_similar_pair():

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, discard, small_side, table
@@ -20,6 +20,8 @@ CHUNK = 4096
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Rows that one group of small buckets holds on average.
 GROUP_ROWS = 60_000
+#: Texts of one family that are checked together, and texts that one group of checks holds on average.
+FAMILY, GROUP_TEXTS = 128, 1_000
 
 
 def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
@@ -137,10 +139,11 @@ def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = up
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, batch: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, asking: np.ndarray | None = None, batch: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of rows of one key whose fingerprints differ in at most radius bits, each pair once.
 
-    Rows of side 0 meet all of their bucket, unless it has rows of side 1: then they meet those only.
+    Rows of side 0 meet all of their bucket, unless it has rows of side 1: then they meet those only. With a mask
+    `asking`, only pairs with a marked row are found: once, or twice where both are marked.
     """
     order = np.lexsort((side, key))
     key, side = key[order], side[order]
@@ -159,23 +162,25 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int,
     lanes[block, lane] = fp[order]
     row = np.zeros((offset[-1], 64), np.int64)
     row[block, lane] = np.arange(len(key))
-    can = np.zeros((offset[-1], 64), np.uint8)
-    can[block, lane] = ~crossed[bucket] | (side == 1)
-    can = np.packbits(can, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    can = np.zeros((2, offset[-1], 64), np.uint8)
+    can[0, block, lane] = ~crossed[bucket] | (side == 1)
+    can[1, block, lane] = ~crossed[bucket] | (side == 0)
+    can = np.packbits(can, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     planes = planes_of(lanes)
-    asks = np.flatnonzero((size[bucket] > 1) & (side == 0))
-    span = offset[bucket[asks] + 1] - block[asks]
+    asks = np.flatnonzero((size[bucket] > 1) & (side == 0 if asking is None else asking[order]))
+    begin = block[asks] if asking is None else offset[bucket[asks]]
+    span = offset[bucket[asks] + 1] - begin
     ends = np.cumsum(span)
     at = 0
     while at < len(asks):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch, "right")))
         q = np.repeat(asks[at:to], span[at:to])
         step = np.arange(len(q)) - np.repeat(np.cumsum(span[at:to]) - span[at:to], span[at:to])
-        k = block[q] + step
-        valid = can[k]
-        own = step == 0
-        later = ~((np.uint64(2) << lane[q[own]].astype(np.uint64)) - np.uint64(1))
-        valid[own] &= later
+        k = np.repeat(begin[at:to], span[at:to]) + step
+        valid = can[side[q], k]
+        own = k == block[q]
+        bit = np.uint64(1) << lane[q[own]].astype(np.uint64)
+        valid[own] &= ~bit if asking is not None else ~((bit << np.uint64(1)) - np.uint64(1))
         some = np.flatnonzero(valid)
         q, k = q[some], k[some]
         hit, word = within(fp[order[q]], k, valid[some], planes, radius)
@@ -185,12 +190,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int,
         at = to
 
 
-def dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
+def dealt(nodes: DataFrame, masks: list[int], asking: Column | None = None) -> DataFrame:
     """nodes (id, fp, more columns) -> rows (grp, key, side and the nodes' columns): every bucket of every table meets in
-    one grp, or, if it is larger than CHUNK, in one grp for each pair of its chunks."""
+    one grp, or, if it is larger than CHUNK, in one grp for each pair of its chunks. Buckets without an asking node go."""
     spark, own = nodes.sparkSession, nodes.columns
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = nodes.select(*own, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")).select(*own, F.xxhash64("x.t", "x.k").alias("key"))
+    if asking is not None:
+        rows = rows.join(small_side(cut(rows.where(asking).select("key").distinct(), "keys")), "key", "left_semi")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(masks) // GROUP_ROWS)
     large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large")
     usual = F.pmod(F.col("key"), F.lit(groups))
@@ -222,14 +229,15 @@ def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int, sim
     """nodes (id, fp, m, SKETCH) -> (u, v, d, more): for each id the k nearest smaller ids of its buckets in the radius,
     ties to the smaller. Pairs that their sketches rule out are no candidates. more: u has others beyond v.
 
-    With columns comp, cd, cv only candidates of another comp count, and only those that come after (cd, cv).
+    With columns comp, cd, cv only candidates of another comp count, and only those that come after (cd, cv); nodes with
+    cd over BITS ask for none.
     """
     columns = ["key", "id", "fp", "side", "m", *SKETCH] + [c for c in ("comp", "cd", "cv") if c in nodes.columns]
 
     def run(t: pa.Table) -> pa.Table:
         key, ids, fp, side, m, *state = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns)
         fp, sketch, state, out = fp.view(np.uint64), [s.view(np.uint64) for s in state[: len(SKETCH)]], state[len(SKETCH) :], np.empty((3, 0), np.int64)
-        for i, j in bucket_links(key, fp, side, radius):
+        for i, j in bucket_links(key, fp, side, radius, state[1] <= BITS if state else None):
             i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
             d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
             fits = may_be_similar(m, sketch, i, j, similarity)
@@ -246,7 +254,8 @@ def nearest_earlier(nodes: DataFrame, masks: list[int], radius: int, k: int, sim
         return pa.table({"u": pa.array(out[0, start]), "near": near})
 
     # A group returns one row for each id, with its k + 1 nearest; the lists of an id are merged before they become pairs.
-    lists = dealt(nodes, masks).groupBy("grp").applyInArrow(run, "u long, near array<struct<d:long,v:long>>")
+    asking = F.col("cd") <= BITS if "cd" in nodes.columns else None
+    lists = dealt(nodes, masks, asking).groupBy("grp").applyInArrow(run, "u long, near array<struct<d:long,v:long>>")
     best = lists.groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     return best.select("u", F.explode(F.slice("near", 1, k)).alias("x"), (F.size("near") > k).alias("more")).select("u", "x.v", "x.d", "more")
 
@@ -267,30 +276,45 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_jaccard(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """pairs (u, v) of doc_ids -> u, v, jaccard of their sets of `words`-word shingles."""
-    texts = docs.select("doc_id", "text")
-    both = pairs.select("u", "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose sets of `words`-word shingles have this Jaccard similarity or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.unique(shingle_hashes((t.as_py() or "").encode(), words)) for t in (a, b))
+    texts (doc_id, text) has one row for each. Pairs of one neighbourhood are checked together, so that a text travels
+    and is hashed once for many pairs: a node's family is the smallest id it is paired with, large families are split.
+    """
+    pairs = pairs.select("u", "v")
+    family = pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("family"))
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(family, "id", "left").select("id", F.coalesce("family", "id").alias("family"))
+    ids = ids.join(ids.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts")), "family")
+    place = cut(ids.select("id", F.xxhash64("family", F.pmod(F.xxhash64("id", F.lit(5)), "parts")).alias("place")), "place")
+    placed = pairs.join(place.select(F.col("id").alias("u"), F.col("place").alias("a")), "u").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "v")
+    placed = cut(placed.select("u", "v", F.xxhash64("a", "b").alias("tile")), "placed")
+    members = placed.select("tile", F.col("u").alias("doc_id")).union(placed.select("tile", "v")).distinct()
+    spark = pairs.sparkSession
+    grp = F.pmod("tile", F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // GROUP_TEXTS))).alias("grp")
+    told = members.select(grp, "doc_id").distinct().join(texts, "doc_id").select("grp", "doc_id", "text")
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        u, v = (asked.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("u", "v"))
+        sets = {i.as_py(): np.unique(shingle_hashes((t.as_py() or "").encode(), words)) for i, t in zip(told.column("doc_id"), told.column("text"), strict=True)}
+        good = np.zeros(len(u), bool)
+        for k, (i, j) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+            x, y = sets[i], sets[j]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                score.append(same / max(1, len(x) + len(y) - same) if len(x) or len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["u", "v", "jaccard"])
+                good[k] = same / (len(x) + len(y) - same) >= similarity if len(x) or len(y) else True
+        return pa.table({"u": u[good], "v": v[good]})
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, jaccard double")
+    return placed.select(grp, "u", "v").groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 40, key_bits: int = 12, nearest: int = 4, most: int = 256) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 40, key_bits: int = 12, nearest: int = 4, most: int = 1024) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group) for documents that share a group with an earlier one or are its first.
 
     Equal word sequences are one node. Nodes of a sampled-bit bucket meet bit-sliced; earlier nodes in the radius are
     candidates, checked by the exact similarity of their shingle sets, and chains of checked pairs form the groups.
     Each node's `nearest` closest candidates are checked first. Rounds for nodes with more go on behind the last one
-    checked, by four times as many at a time and at most `most`, until no candidate outside its node's group is left, so
+    checked, by sixteen times as many at a time and at most `most`, until no candidate outside its node's group is left, so
     no candidate is dropped. Rows without doc_id take no part. Documents alone in their group are not returned.
     tables=1, key_bits=0, radius=64 makes every pair that the sketches allow a candidate.
     """
@@ -302,7 +326,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         pairs = cut(nearest_earlier(state, masks, radius, k, similarity), "pairs")
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
         texts = cut(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ends")
-        good = shingle_jaccard(pairs, texts, words).where(F.col("jaccard") >= similarity).select("u", "v")
+        good = similar_pairs(pairs, texts, words, similarity)
         comp = cut(connected_components(good if links is None else good.union(links)).select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
         waiting = pairs.where("more").groupBy("u").agg(F.max(F.struct("d", "v")).alias("x")).withColumnRenamed("u", "id")
         done = waiting.isEmpty()
@@ -313,7 +337,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         discard(texts)
         if done:
             break
-        links, k = comp.select(F.col("id").alias("u"), F.col("group_id").alias("v")), min(4 * k, most)
+        links, k = comp.select(F.col("id").alias("u"), F.col("group_id").alias("v")), min(16 * k, most)
     copies = nodes.join(comp, "id", "left").where("n > 1 or group_id is not null").select("c1", "c2", "fp", F.coalesce("group_id", "id").alias("group_id"))
     return prints.join(copies, ["c1", "c2", "fp"]).select("doc_id", "group_id")
 
