@@ -277,7 +277,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose sets of `words`-word shingles have this Jaccard similarity or more.
+    """(u, v): stars with the same components as the pairs of doc_ids whose sets of `words`-word shingles have this
+    Jaccard similarity or more.
 
     texts (doc_id, text) has one row for each. Pairs of one neighbourhood are checked together, so that a text travels
     and is hashed once for many pairs: a node's family is the smallest id it is paired with, large families are split.
@@ -303,7 +304,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
             if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 good[k] = same / (len(x) + len(y) - same) >= similarity if len(x) or len(y) else True
-        return pa.table({"u": u[good], "v": v[good]})
+        ids, at = np.unique(np.r_[u[good], v[good]], return_inverse=True)
+        label = merge(np.arange(len(ids)), at[: good.sum()], at[good.sum() :])
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": ids[joined], "v": ids[label[joined]]})
 
     return placed.select(grp, "u", "v").groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, "u long, v long")
 
