@@ -51,7 +51,7 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def parse_ini(text: Column) -> Column:
     """section.key -> value. `#` starts a comment line; a last line without a line break is dropped; the last of equal
     keys stands. A key before any section raises an error."""
-    whole = F.transform(F.split(F.regexp_replace(text, "[^\n]*$", ""), "\n"), lambda x: strip(x))
+    whole = F.transform(F.split(F.regexp_replace(text, r"[^\n]*\z", ""), "\n"), lambda x: strip(x))
     used = F.filter(whole, lambda x: (x != "") & ~x.startswith("#"))
     start = F.struct(F.lit("").alias("s"), F.create_map().cast("map<string,string>").alias("m"))
 
