@@ -98,6 +98,16 @@ def test_near_duplicates(spark):
     assert sorted(x for x in kept if x is not None) == [10 * k for k in range(12)] + [1001] and kept.count(None) == 1
 
 
+def test_near_duplicates_differ_in_repetition(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:20] * 30 + words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 40, 2))
+
+
 def test_near_duplicates_check_every_candidate(spark, monkeypatch):
     rng = random.Random(5)
     rows = []

@@ -57,11 +57,11 @@ def may_be_similar(m: np.ndarray, sketch: list[np.ndarray], i: np.ndarray, j: np
     return same >= similarity * (m[i].astype(np.int64) + m[j] - same) - 1e-6
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, repeats: bool = True) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), m (distinct shingles), their SKETCH, and c1, c2: a 128-bit hash of the
     lower-cased word sequence.
 
-    Null texts count as empty. Rows are taken as they are: repeated doc_ids stay.
+    A shingle counts in fp as often as it stands in the text, without repeats once. Null texts count as empty. Rows are taken as they are: repeated doc_ids stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +71,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             for i, t in enumerate(batch.column(1)):
                 raw = (t.as_py() or "").encode()
                 h = shingle_hashes(raw, words)
-                fp[i], h = fingerprint_of(h), np.unique(h)
-                m[i], sketch[i] = len(h), sketch_of(h)
+                one = np.unique(h)
+                fp[i], m[i], sketch[i] = fingerprint_of(h if repeats else one), len(one), sketch_of(one)
                 x = xxhash.xxh3_128_intdigest(b" ".join(raw.lower().split()))
                 c[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]))), pa.array(m), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T)], names=["doc_id", "fp", "c1", "c2", "m", *SKETCH])
@@ -323,7 +323,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     tables=1, key_bits=0, radius=64 makes every pair that the sketches allow a candidate.
     """
     docs, masks = docs.where("doc_id is not null"), sampled_masks(tables, key_bits)
-    prints = cut(fingerprints(docs, words), "prints")
+    prints = cut(fingerprints(docs, words, repeats=False), "prints")
     nodes = cut(prints.groupBy("c1", "c2", "fp", "m", *SKETCH).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     state, links, k = nodes.select("id", "fp", "m", *SKETCH), None, nearest
     while True:
