@@ -108,6 +108,35 @@ def test_near_duplicates_differ_in_repetition(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 40, 2))
 
 
+def test_near_duplicates_just_above_the_similarity(spark):
+    rng = random.Random(17)
+    rows, similar = [], 0
+    while similar < 400:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))]
+        changed = list(words)
+        for at in rng.sample(range(len(words)), round(len(words) / rng.uniform(38, 55))):
+            changed[at] = f"x{rng.randrange(5000)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * similar, " ".join(words)), (2 * similar + 1, " ".join(changed))]
+            similar += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert sum(2 * k + 1 not in got for k in range(400)) == 400 and got == set(range(0, 800, 2))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        m = int(rng.integers(1, 200))
+        h = np.unique(rng.integers(0, 2**63, m).astype(np.uint64))
+        other = np.unique(np.r_[rng.permutation(h)[: rng.integers(0, m + 1)], rng.integers(0, 2**63, m // 8).astype(np.uint64)])
+        late = np.sort(rng.choice(np.r_[h, other], rng.integers(0, m + 1), replace=False))
+        same = len(np.intersect1d(h, other))
+        if same >= 0.8 * (len(h) + len(other) - same):
+            assert len(np.intersect1d(simhash.prefix_of(h, 0.8, late), simhash.prefix_of(other, 0.8, late)))
+
+
 def test_near_duplicates_check_every_candidate(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
