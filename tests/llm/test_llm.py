@@ -321,6 +321,17 @@ def test_language(spark):
     assert none is None and {r["lang_pred"] for r in language.identify(documents(spark), none).collect()} == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language.Network, "fit", lambda net, seqs, y: seen.extend(zip(seqs, y, strict=True)))
+    head = [f"licence{i}" for i in range(language.WORDS_PER_DOC)]
+    rows = [(k, " ".join(head + [f"{lang}{i}" for i in range(600)]), lang) for k, lang in enumerate(("de", "en"))]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    for k, lang in enumerate(net.langs):
+        words = [s for s, y in seen if y == k]
+        assert len(words) == language.WORDS_PER_DOC and sum(s.startswith(f" {lang}".encode()) for s in words) > 40
+
+
 def test_gradient_is_exact():
     net = language.Network(["a", "b"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

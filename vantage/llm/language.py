@@ -162,13 +162,15 @@ class WordTable:
 
 
 def train(docs: DataFrame, learn, docs_per_lang: int = DOCS_PER_LANG) -> Network | None:
-    """The network of at most docs_per_lang documents of each language, those of the smallest hashes. learn: a condition.
+    """The network of at most docs_per_lang documents of each language, those of the smallest hashes, and of the
+    WORDS_PER_DOC distinct words of the smallest hashes in each whole text. learn: a condition.
 
     Null languages, null texts and texts without words are left out; None if nothing is left.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
     pick = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_lang).select("doc_id", "lang").distinct()
-    words = F.slice(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+")), 1, WORDS_PER_DOC)
+    hashed = F.transform(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
+    words = F.transform(F.slice(F.array_sort(hashed), 1, WORDS_PER_DOC), lambda x: x["w"])
     got = docs.join(F.broadcast(pick), ["doc_id", "lang"]).select("doc_id", "lang", words.alias("w")).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
     pairs = sorted({(s, r["lang"]) for r in got for w in r["w"] if w for s in windows(w.encode())})
     if not pairs:
