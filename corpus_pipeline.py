@@ -44,7 +44,8 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: SQL can't express the classifier, XXH64 fingerprints or the encoding; tests hold the stages against brute force.
+#: SQL can't express the classifier, XXH64 fingerprints or the encoding. Tests hold line dedup and, at its production
+#: settings, the near-duplicate stage against brute force; the quality and mixing operators have tests of their properties only.
 ORACLE_SQL = None
 
 

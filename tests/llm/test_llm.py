@@ -349,6 +349,23 @@ def test_gradient_is_exact():
         assert abs((ends[0] - ends[1]) / 2e-3 - g[name][at]) < 1e-4
 
 
+def test_near_duplicate_stage_is_brute_force(spark):
+    docs = corpus_pipeline.line_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    sets = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent, ids, joined = {i: i for i in sets}, sorted(sets), 0
+    for n, b in enumerate(ids):
+        for a in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)], joined = min(x, y), joined + 1
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert joined and got == [i for i in ids if find(parent, i) == i]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
