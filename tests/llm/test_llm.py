@@ -13,7 +13,7 @@ from conftest import SF
 from oracle import compare
 from pyspark.sql import functions as F
 
-from vantage.llm import embedding, language, lines, mixing, pieces, quality, registry, sharding, simhash, suffix, topk
+from vantage.llm import embedding, language, lines, mixing, neartext, pieces, quality, registry, sharding, simhash, suffix, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, fp string, n_dropped string"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -68,9 +68,6 @@ def test_bit_sliced_links(radius, monkeypatch):
     got = {(min(i, j), max(i, j)) for u, v in simhash.bucket_links(key, fp, side, radius, batch=256) for i, j in zip(u.tolist(), v.tolist())}
     want = {(i, j) for i in range(400) for j in range(i + 1, 400) if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= radius and (key[i] != 3 or side[i] != side[j])}
     assert got == want
-    asking = rng.random(400) < 0.2
-    some = {(min(i, j), max(i, j)) for u, v in simhash.bucket_links(key, fp, side, radius, asking, batch=256) for i, j in zip(u.tolist(), v.tolist())}
-    assert some == {(i, j) for i, j in want if asking[i] or asking[j]}
 
 
 def test_simhash_large_buckets_and_edges(spark, monkeypatch):
@@ -94,7 +91,7 @@ def test_near_duplicates(spark):
             changed[rng.randrange(300)] = "other"
             rows.append((10 * k + c, " ".join(changed)))
     rows += [(1000, rows[0][1].upper()), (1001, None), (1002, ""), (None, rows[0][1])]
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept = [r["doc_id"] for r in neartext.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(x for x in kept if x is not None) == [10 * k for k in range(12)] + [1001] and kept.count(None) == 1
 
 
@@ -105,7 +102,7 @@ def test_near_duplicates_differ_in_repetition(spark):
         words = [f"w{rng.randrange(5000)}" for _ in range(300)]
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:20] * 30 + words))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 40, 2))
+    assert sorted(r["doc_id"] for r in neartext.drop_near_duplicates(docs).collect()) == list(range(0, 40, 2))
 
 
 def test_near_duplicates_just_above_the_similarity(spark):
@@ -121,7 +118,7 @@ def test_near_duplicates_just_above_the_similarity(spark):
             rows += [(2 * similar, " ".join(words)), (2 * similar + 1, " ".join(changed))]
             similar += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    got = {r["doc_id"] for r in neartext.drop_near_duplicates(docs).collect()}
     assert sum(2 * k + 1 not in got for k in range(400)) == 400 and got == set(range(0, 800, 2))
 
 
@@ -129,12 +126,21 @@ def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(2)
     for _ in range(300):
         m = int(rng.integers(1, 200))
-        h = np.unique(rng.integers(0, 2**63, m).astype(np.uint64))
-        other = np.unique(np.r_[rng.permutation(h)[: rng.integers(0, m + 1)], rng.integers(0, 2**63, m // 8).astype(np.uint64)])
-        late = np.sort(rng.choice(np.r_[h, other], rng.integers(0, m + 1), replace=False))
+        h = np.unique(rng.integers(0, 2**64, m, dtype=np.uint64))
+        other = np.unique(np.r_[rng.permutation(h)[: rng.integers(0, m + 1)], rng.integers(0, 2**64, m // 8, dtype=np.uint64)])
+        late = np.unique(neartext.codes(rng.choice(np.r_[h, other], rng.integers(0, m + 1), replace=False), 7))
         same = len(np.intersect1d(h, other))
         if same >= 0.8 * (len(h) + len(other) - same):
-            assert len(np.intersect1d(simhash.prefix_of(h, 0.8, late), simhash.prefix_of(other, 0.8, late)))
+            x, y = (neartext.ordered_prefix(z, 0.8, late, 7) for z in (h, other))
+            assert len(np.intersect1d(x[0], y[0])) or len(np.intersect1d(x[1], y[1]))
+
+
+def test_shingle_sets():
+    plain = lambda t, k: len({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}) if (w := t.lower().split()) else 0
+    rng = random.Random(4)
+    for t in [None, "", " \t", "One", "a b c d", "A b C d E", *(" ".join(rng.choice("abc") for _ in range(rng.randrange(300))) for _ in range(20))]:
+        assert len(neartext.shingle_set(t, 5)) == plain(t or "", 5)
+    assert np.array_equal(neartext.shingle_set("One two\nTHREE", 5), neartext.shingle_set("one  two three", 5))
 
 
 def test_near_duplicates_check_every_candidate(spark, monkeypatch):
@@ -154,22 +160,22 @@ def test_near_duplicates_check_every_candidate(spark, monkeypatch):
                 a, b = sorted((want[u], want[v]))
                 want = [a if w == b else w for w in want]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = dict(map(tuple, simhash.near_duplicate_groups(docs, radius=64, tables=1, key_bits=0, nearest=1, most=64).collect()))
+    got = dict(map(tuple, neartext.near_duplicate_groups(docs).collect()))
     assert len(set(want)) > 5 and [got.get(d, d) for d, _ in rows] == want
-    for name, value in (("CHUNK", 8), ("FAMILY", 3), ("GROUP_TEXTS", 10)):
-        monkeypatch.setattr(simhash, name, value)
-    assert dict(map(tuple, simhash.near_duplicate_groups(docs, radius=64, tables=1, key_bits=0, nearest=1, most=64).collect())) == got
-
-
-def test_sketch_never_rules_out_a_similar_pair():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 300).astype(np.uint64)
-    sets = [np.unique(np.r_[base[: rng.integers(60, 300)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(120)]
-    m, sketch = np.array([len(h) for h in sets], np.int32), list(np.array([simhash.sketch_of(h) for h in sets]).T)
-    i, j = np.triu_indices(len(sets), 1)
-    may = simhash.may_be_similar(m, sketch, i, j, 0.8)
-    jaccard = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
-    assert may[jaccard >= 0.8].all() and not may.all()
+    # Many chunks a family, frequent shingles, and fingerprints that are compared within the radius.
+    for name, value in (("CHUNK", 4), ("COMMON", 2), ("SMALL", 1), ("PACK", 100), ("GROUP_ROWS", 5), ("GROUP_SHINGLES", 500)):
+        monkeypatch.setattr(neartext, name, value)
+    assert dict(map(tuple, neartext.near_duplicate_groups(docs).collect())) == got
+
+
+def test_near_duplicates_edges(spark):
+    docs = documents(spark)
+    out = neartext.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([1, 3, 6, 8, 9, 10, 20, 21, 22, 23, 24, None], key=str)
+    assert neartext.drop_near_duplicates(documents(spark, empty=True)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "other words that stand under one id"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
+    assert sorted(neartext.drop_near_duplicates(twice).collect()) in ([(1, "a b c d e f"), (1, "other words that stand under one id")], [(1, "a b c d e f"), (1, "other words that stand under one id"), (2, "A b c d e f")])
 
 
 def test_embedding_edges(spark, monkeypatch):

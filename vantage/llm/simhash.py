@@ -8,24 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, discard, small_side, table
+from .common import connected_components, cut, small_side, table
 
 BITS = 64
 #: Rows of a bucket that meet in one kernel call; larger buckets are dealt as pairs of such chunks.
 CHUNK = 4096
-#: Columns of a node's sketch, 64 bits each: a bit is set if any distinct shingle's hash falls on it.
-SKETCH = ("s0", "s1", "s2", "s3")
-#: Texts, of the smallest hashes, whose common shingles stand last in prefixes, and how many of them make one common.
-ORDER_TEXTS, COMMON = 4_000, 4
-#: Prefix hashes that meet in one task on average.
-PART_HASHES = 1_000_000
 #: Rows that one group of small buckets holds on average.
 GROUP_ROWS = 60_000
-#: Texts of one family that are checked together, and texts that one group of checks holds on average.
-FAMILY, GROUP_TEXTS = 128, 1_000
 
 
 def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
@@ -46,79 +38,16 @@ def fingerprint_of(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def sketch_of(h: np.ndarray) -> np.ndarray:
-    """The bits of SKETCH for the distinct hashes h. A bit that another set lacks stands for at least one hash it lacks."""
-    bits = np.zeros(64 * len(SKETCH), np.uint8)
-    bits[h % np.uint64(len(bits))] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def prefix_of(h: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
-    """The first of the distinct hashes h, ordered by size with those in the sorted `late` behind all others: so many that
-    any two sets of this similarity share one of them, whatever `late` holds.
-
-    Such sets share ceil(similarity * len(h)) hashes at least, the first of which has all the others behind it.
-    """
-    if len(late):
-        last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-        h = np.r_[h[~last], h[last]]
-    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1] if len(h) else h
-
-
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the shingles that COMMON of ORDER_TEXTS texts hold. They order prefixes and decide nothing else."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long). A shingle counts as often as it stands in the text. Null texts count as
+    empty. Rows are taken as they are: repeated doc_ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes((t.as_py() or "").encode(), words)).view(np.int64))], names=["h"])
-
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDER_TEXTS)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text").distinct()
-    got = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toArrow()
-    return np.sort(got.column("h").to_numpy().astype(np.int64).view(np.uint64))
-
-
-def may_be_similar(m: np.ndarray, sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets i and j, of m shingles each, can reach the similarity; never False for a pair that does. The sketch
-    is unsigned: bits of negative numbers are counted by their absolute value."""
-    only_i, only_j = (sum(np.bitwise_count(s[a] & ~s[b]).astype(np.int64) for s in sketch) for a, b in ((i, j), (j, i)))
-    same = np.minimum(m[i] - only_i, m[j] - only_j)
-    return same >= similarity * (m[i].astype(np.int64) + m[j] - same) - 1e-6
+            fp = np.fromiter((fingerprint_of(shingle_hashes((t.as_py() or "").encode(), words)) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-
-def fingerprints(docs: DataFrame, words: int = 3, repeats: bool = True, similarity: float | None = None, late: np.ndarray | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), m (distinct shingles), their SKETCH, and c1, c2: a 128-bit hash of the
-    lower-cased word sequence.
-
-    A shingle counts in fp as often as it stands in the text, without repeats once.
-    With a similarity, a column prefix follows: prefix_of the distinct shingles, with
-    those of late last. Null texts count as empty. Rows are taken as they are: repeated doc_ids stay.
-    """
-
-    names = ["doc_id", "fp", "c1", "c2", "m", *SKETCH] + ["prefix"] * (similarity is not None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = []
-            fp, m = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32)
-            c, sketch = np.empty((batch.num_rows, 2), np.uint64), np.empty((batch.num_rows, len(SKETCH)), np.uint64)
-            for i, t in enumerate(batch.column(1)):
-                raw = (t.as_py() or "").encode()
-                h = shingle_hashes(raw, words)
-                one = np.unique(h)
-                fp[i], m[i], sketch[i] = fingerprint_of(h if repeats else one), len(one), sketch_of(one)
-                if similarity is not None:
-                    prefix.append(prefix_of(one, similarity, late))
-                x = xxhash.xxh3_128_intdigest(b" ".join(raw.lower().split()))
-                c[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
-            columns = [batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (fp, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]))), pa.array(m), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T)]
-            if similarity is not None:
-                ends = np.cumsum([0, *map(len, prefix)])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *prefix]).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{x} {'int' if x == 'm' else 'array<long>' if x == 'prefix' else 'long'}" for x in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def pigeonhole_masks(radius: int, blocks: int) -> list[int]:
@@ -128,12 +57,6 @@ def pigeonhole_masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(part, blocks - radius)]
 
 
-def sampled_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
-    """Masks of `bits` bits drawn anew for each of `tables` tables."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
-
-
 def planes_of(lanes: np.ndarray) -> np.ndarray:
     """(blocks, 64) fingerprints -> (64, blocks) bit planes: bit l of planes[b, k] is bit b of lane l of block k."""
     out = np.empty((BITS, len(lanes)), np.uint64)
@@ -180,11 +103,10 @@ def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = up
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, asking: np.ndarray | None = None, batch: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, batch: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of rows of one key whose fingerprints differ in at most radius bits, each pair once.
 
-    Rows of side 0 meet all of their bucket, unless it has rows of side 1: then they meet those only. With a mask
-    `asking`, only pairs with a marked row are found: once, or twice where both are marked.
+    Rows of side 0 meet all of their bucket, unless it has rows of side 1: then they meet those only.
     """
     order = np.lexsort((side, key))
     key, side = key[order], side[order]
@@ -208,8 +130,8 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int,
     can[1, block, lane] = ~crossed[bucket] | (side == 0)
     can = np.packbits(can, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     planes = planes_of(lanes)
-    asks = np.flatnonzero((size[bucket] > 1) & (side == 0 if asking is None else asking[order]))
-    begin = block[asks] if asking is None else offset[bucket[asks]]
+    asks = np.flatnonzero((size[bucket] > 1) & (side == 0))
+    begin = block[asks]
     span = offset[bucket[asks] + 1] - begin
     ends = np.cumsum(span)
     at = 0
@@ -221,7 +143,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int,
         valid = can[side[q], k]
         own = k == block[q]
         bit = np.uint64(1) << lane[q[own]].astype(np.uint64)
-        valid[own] &= ~bit if asking is not None else ~((bit << np.uint64(1)) - np.uint64(1))
+        valid[own] &= ~((bit << np.uint64(1)) - np.uint64(1))
         some = np.flatnonzero(valid)
         q, k = q[some], k[some]
         hit, word = within(fp[order[q]], k, valid[some], planes, radius)
@@ -237,56 +159,10 @@ def masked(nodes: DataFrame, masks: list[int]) -> DataFrame:
     return nodes.select(*own, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")).select(*own, F.xxhash64("x.t", "x.k").alias("key"))
 
 
-def shared_prefixes(prints: DataFrame) -> DataFrame:
-    """prints (doc_id, prefix) -> (id, key): the prefix hashes that several ids hold. Hashes travel packed, a row for each
-    batch and part."""
-    spark = prints.sparkSession
-    total = prints.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_HASHES)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(at, 2_000)
-                lists = batch.column(1)
-                key = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
-                part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                key, ids, part = key[order], ids[order], part[order]
-                start = np.flatnonzero(np.r_[len(part) > 0, part[1:] != part[:-1]])
-                ends = pa.array(np.r_[start, len(part)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(part[start]), pa.ListArray.from_arrays(ends, pa.array(key)), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64()))], names=["part", "keys", "ids"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        key, ids = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("keys", "ids"))
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
-        key, ids = key[new], ids[new]
-        same = key[1:] == key[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        return pa.table({"id": ids[shared], "key": key[shared]})
-
-    packed = prints.select("doc_id", "prefix").mapInArrow(pack, "part int, keys array<long>, ids array<long>")
-    return packed.groupBy("part").applyInArrow(meet, "id long, key long")
-
-
-def split_keys(keys: DataFrame, state: DataFrame) -> DataFrame:
-    """The rows (id, key) of nodes whose key is held by nodes of several groups. Similar nodes that are not yet in one
-    group share such a key."""
-    held = cut(keys.join(state.select("id", "comp"), "id"), "held")
-    split = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-    return held.select("id", "key").join(small_side(cut(split, "split")), "key", "left_semi").select("id", "key")
-
-
-def dealt(rows: DataFrame, total: int, asking: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, total: int) -> DataFrame:
     """rows (key, id, fp, more columns), about total of them -> rows (grp, key, side and the other columns): every bucket
-    meets in one grp, or, if it is larger than CHUNK, in one grp for each pair of its chunks. Buckets without an asking
-    node go."""
+    meets in one grp, or, if it is larger than CHUNK, in one grp for each pair of its chunks."""
     spark, own = rows.sparkSession, [c for c in rows.columns if c != "key"]
-    if asking is not None:
-        rows = rows.join(small_side(cut(rows.where(asking).select("key").distinct(), "keys")), "key", "left_semi")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_ROWS)
     large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large")
     usual = F.pmod(F.col("key"), F.lit(groups))
@@ -314,46 +190,6 @@ def star_edges(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return dealt(masked(nodes, masks), nodes.count() * len(masks)).groupBy("grp").applyInArrow(run, "u long, v long")
 
 
-def nearest_earlier(rows: DataFrame, total: int, radius: int, k: int, similarity: float) -> DataFrame:
-    """rows (key, id, fp, m, SKETCH), about total of them -> (u, v, d, more): for each id the k nearest smaller ids of its buckets in the radius,
-    ties to the smaller. Pairs that their sketches rule out are no candidates. more: u has others beyond v.
-
-    With columns comp, cd, cv only candidates of another comp count, and only those that come after (cd, cv); nodes with
-    cd over BITS ask for none.
-    """
-    columns = ["key", "id", "fp", "side", "m", *SKETCH] + [c for c in ("comp", "cd", "cv") if c in rows.columns]
-    # Without a radius every pair of a bucket is met, so fewer at a time.
-    batch = 1 << 17 if radius < BITS else 1 << 13
-
-    def run(t: pa.Table) -> pa.Table:
-        key, ids, fp, side, m, *state = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns)
-        fp, sketch, state, out = fp.view(np.uint64), [s.view(np.uint64) for s in state[: len(SKETCH)]], state[len(SKETCH) :], np.empty((3, 0), np.int64)
-        for i, j in bucket_links(key, fp, side, radius, state[1] <= BITS if state else None, batch):
-            if state:
-                other = state[0][i] != state[0][j]
-                i, j = i[other], j[other]
-            i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
-            d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
-            fits = may_be_similar(m, sketch, i, j, similarity)
-            if state:
-                _, cd, cv = state
-                fits &= (d > cd[i]) | (d == cd[i]) & (ids[j] > cv[i])
-            out = np.concatenate([out, np.stack([ids[i], ids[j], d])[:, fits]], axis=1)
-            out = out[:, np.lexsort((out[1], out[2], out[0]))]
-            out = out[:, np.r_[True, (out[:2, 1:] != out[:2, :-1]).any(0)][: out.shape[1]]]
-            start = np.flatnonzero(np.r_[True, out[0, 1:] != out[0, :-1]][: out.shape[1]])
-            out = out[:, np.arange(out.shape[1]) - np.repeat(start, np.diff(np.r_[start, out.shape[1]])) <= k]
-        start = np.flatnonzero(np.r_[out.shape[1] > 0, out[0, 1:] != out[0, :-1]])
-        near = pa.ListArray.from_arrays(pa.array(np.r_[start, out.shape[1]], pa.int32()), pa.StructArray.from_arrays([pa.array(out[2]), pa.array(out[1])], names=["d", "v"]))
-        return pa.table({"u": pa.array(out[0, start]), "near": near})
-
-    # A group returns one row for each id, with its k + 1 nearest; the lists of an id are merged before they become pairs.
-    asking = F.col("cd") <= BITS if "cd" in rows.columns else None
-    lists = dealt(rows, total, asking).groupBy("grp").applyInArrow(run, "u long, near array<struct<d:long,v:long>>")
-    best = lists.groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-    return best.select("u", F.explode(F.slice("near", 1, k)).alias("x"), (F.size("near") > k).alias("more")).select("u", "x.v", "x.d", "more")
-
-
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
     """doc_id, fp, component_id: documents joined by chains of fingerprints that differ in at most radius bits.
 
@@ -361,7 +197,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
     component (null only if all of its doc_ids are null); empty and null texts have fingerprint zero and link like any
     other; an empty table gives no rows; repeated rows each get a row.
     """
-    prints = cut(fingerprints(docs, words).select("doc_id", "fp"), "fp")
+    prints = cut(fingerprints(docs, words), "fp")
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     edges = star_edges(firsts.select(F.col("fp").alias("id"), "fp"), pigeonhole_masks(radius, blocks), radius)
     comp = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
@@ -370,99 +206,6 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): stars with the same components as the pairs of doc_ids whose sets of `words`-word shingles have this
-    Jaccard similarity or more.
-
-    texts (doc_id, text) has one row for each. Pairs of one neighbourhood are checked together, so that a text travels
-    and is hashed once for many pairs: a node's family is the smallest id it is paired with, large families are split.
-    """
-    pairs = pairs.select("u", "v")
-    family = pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("family"))
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(family, "id", "left").select("id", F.coalesce("family", "id").alias("family"))
-    ids = ids.join(ids.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts")), "family")
-    place = cut(ids.select("id", F.xxhash64("family", F.pmod(F.xxhash64("id", F.lit(5)), "parts")).alias("place")), "place")
-    placed = pairs.join(place.select(F.col("id").alias("u"), F.col("place").alias("a")), "u").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "v")
-    placed = cut(placed.select("u", "v", F.xxhash64("a", "b").alias("tile")), "placed")
-    members = placed.select("tile", F.col("u").alias("doc_id")).union(placed.select("tile", "v")).distinct()
-    spark = pairs.sparkSession
-    grp = F.pmod("tile", F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // GROUP_TEXTS))).alias("grp")
-    told = members.select(grp, "doc_id").distinct().join(texts, "doc_id").select("grp", "doc_id", "text")
-
-    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
-        u, v = (asked.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("u", "v"))
-        sets = {i.as_py(): np.unique(shingle_hashes((t.as_py() or "").encode(), words)) for i, t in zip(told.column("doc_id"), told.column("text"), strict=True)}
-        good = np.zeros(len(u), bool)
-        for k, (i, j) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
-            x, y = sets[i], sets[j]
-            if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = same / (len(x) + len(y) - same) >= similarity if len(x) or len(y) else True
-        ids, at = np.unique(np.r_[u[good], v[good]], return_inverse=True)
-        label = merge(np.arange(len(ids)), at[: good.sum()], at[good.sum() :])
-        joined = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"u": ids[joined], "v": ids[label[joined]]})
-
-    return placed.select(grp, "u", "v").groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, "u long, v long")
-
-
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 40, key_bits: int = 12, nearest: int = 4, most: int = 1024) -> DataFrame:
-    """doc_id, group_id (smallest doc_id of the group) for documents that share a group with an earlier one or are its first.
-
-    Equal word sequences are one node. Nodes of a sampled-bit bucket meet bit-sliced; earlier nodes in the radius are
-    candidates, checked by the exact similarity of their shingle sets, and chains of checked pairs form the groups.
-    Similar nodes may lie beyond the radius or share no bucket, so what these candidates left in several groups meets once
-    more, by the hashes of prefix_of and at any distance: no similar pair is missed.
-    Each node's `nearest` closest candidates are checked first. Rounds for nodes with more go on behind the last one
-    checked, by sixteen times as many at a time and at most `most`, until no candidate outside its node's group is left, so
-    no candidate is dropped. Rows without doc_id take no part. Documents alone in their group are not returned.
-    tables=1, key_bits=0, radius=64 makes every pair that the sketches allow a candidate.
-    """
-    docs, masks = docs.where("doc_id is not null"), sampled_masks(tables, key_bits)
-    prints = cut(fingerprints(docs, words, repeats=False, similarity=similarity, late=common_shingles(docs, words)), "prints")
-    nodes = cut(prints.groupBy("c1", "c2", "fp", "m", *SKETCH).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    own = ["id", "fp", "m", *SKETCH]
-    state, comp = nodes.select(*own), None
-    for by_prefix in (False, True):
-        k, done = nearest, False
-        if by_prefix:
-            # All nodes ask anew, from before the first candidate.
-            state = cut(nodes.join(comp, "id", "left").select(*own, F.coalesce("group_id", "id").alias("comp"), F.lit(-1).cast("long").alias("cd"), F.lit(0).cast("long").alias("cv")), "state")
-            keys = cut(split_keys(shared_prefixes(prints), state), "keys")
-            total = keys.count()
-        else:
-            total = nodes.count() * len(masks)
-        while not done:
-            rows = keys.join(state, "id") if by_prefix else masked(state, masks)
-            pairs = cut(nearest_earlier(rows, total, BITS if by_prefix else radius, k, similarity), "pairs")
-            ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-            texts = cut(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ends")
-            good = similar_pairs(pairs, texts, words, similarity)
-            links = None if comp is None else comp.select(F.col("id").alias("u"), F.col("group_id").alias("v"))
-            comp = cut(connected_components(good if links is None else good.union(links)).select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
-            waiting = pairs.where("more").groupBy("u").agg(F.max(F.struct("d", "v")).alias("x")).withColumnRenamed("u", "id")
-            done = waiting.isEmpty()
-            if not done:
-                # Nodes that wait for nothing get a mark beyond every distance.
-                state = cut(nodes.select(*own).join(comp, "id", "left").join(waiting, "id", "left").select(*own, F.coalesce("group_id", "id").alias("comp"), F.coalesce("x.d", F.lit(BITS + 1)).cast("long").alias("cd"), F.coalesce("x.v", F.lit(0)).cast("long").alias("cv")), "state")
-            discard(pairs)
-            discard(texts)
-            k = min(16 * k, most)
-    copies = nodes.join(comp, "id", "left").where("n > 1 or group_id is not null").select("c1", "c2", "fp", F.coalesce("group_id", "id").alias("group_id"))
-    return prints.join(copies, ["c1", "c2", "fp"]).select("doc_id", "group_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; a repeated doc_id keeps one of its equal rows."""
-    groups = near_duplicate_groups(docs, **settings)
-    gone = groups.where("doc_id <> group_id").distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = twice.select("doc_id")
-    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(single).select(*docs.columns)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
