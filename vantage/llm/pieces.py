@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_store
+from .common import cut, table, worker_store
 
 MARK = "▁"
 #: A run of markers with the characters up to the next marker; a run at the end stands alone.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
-#: Chunks that a worker's table holds before it starts anew, and the longest chunk it keeps: its memory is bounded.
-TABLE_CHUNKS, KEPT_CHARS = 400_000, 256
+#: The most frequent chunks, up to this number and length, are broadcast with their ids; others are joined back by position.
+COMMON_CHUNKS, COMMON_CHARS = 200_000, 64
+#: Distinct chunks that a task counts before it hands them on.
+HELD_CHUNKS = 200_000
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> bytes:
@@ -47,77 +52,146 @@ def check_model(model: bytes) -> None:
         raise ValueError("this model's pieces may cross chunks")
 
 
-class ChunkTable:
-    """Each distinct chunk is segmented once; a text's ids are its chunks' ids in order."""
+def chunks_of(text: str | None) -> list[str]:
+    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def __init__(self, model: bytes) -> None:
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.ids: dict[str, list[int]] = {}
 
-    def segment(self, chunk: str) -> list[int]:
-        # The library puts the first marker back, but not before nothing.
-        ids = [self.sp.piece_to_id(MARK)] if chunk == MARK else self.sp.encode(chunk[1:])
-        if len(chunk) <= KEPT_CHARS:
-            if len(self.ids) >= TABLE_CHUNKS:
-                self.ids.clear()
-            self.ids[chunk] = ids
-        return ids
+def processor(model: bytes) -> sentencepiece.SentencePieceProcessor:
+    """The library's processor, kept by the worker from task to task."""
+    kept = worker_store().get("pieces")
+    if kept is None or kept[0] != model:
+        kept = worker_store()["pieces"] = (model, sentencepiece.SentencePieceProcessor(model_proto=model))
+    return kept[1]
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known, out = self.ids.get, []
-        for chunk in CHUNK.findall(MARK + text.replace(" ", MARK)):
-            ids = known(chunk)
-            out += self.segment(chunk) if ids is None else ids
-        return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+def distinct_chunks(docs: DataFrame) -> DataFrame:
+    """chunk, n: every distinct chunk of the texts and how often it stands there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(chunks_of(t.as_py()))
+                if len(seen) >= HELD_CHUNKS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
 
-def chunk_table(model: bytes) -> ChunkTable:
-    kept = worker_store().get("pieces")
-    if kept is None or kept[0] != model:
-        kept = worker_store()["pieces"] = (model, ChunkTable(model))
-    return kept[1]
+    return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>: the model's ids of the whole text, without begin or end ids.
+def chunk_table(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """chunk, n, ids: each distinct chunk of the texts, segmented once."""
+    model = read_model(model_path)
+    check_model(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    The model file's content (a fixed few hundred KB) travels with the job, so executors need no file. Null and empty
-    texts give an empty array; rows are taken as they are, and an empty table gives no rows.
-    """
-    return _run(docs, model_path, lambda t, text: (t.encode(text),), "doc_id long, ids array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = processor(sent.value)
+        mark = sp.piece_to_id(MARK)
+        for batch in batches:
+            # The library puts the first marker back, but not before nothing.
+            ids = [[mark] if c == MARK else sp.encode(c[1:]) for c in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
 
+    return distinct_chunks(docs).mapInArrow(run, "chunk string, n long, ids array<int>")
 
-def encode_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: ids as encode() gives them, and the library's decoding of these ids."""
-    return _run(docs, model_path, lambda t, text: (ids := t.encode(text), t.decode(ids)), "doc_id long, ids array<int>, decoded string")
 
+def _coded(docs: DataFrame, common: dict[str, list[int]], model: bytes | None) -> DataFrame:
+    """doc_id and ids, those of chunks that are not common left out; with a model, the decoding of ids, else the gaps: k1
+    and k2 (a hash of the text), at (places in ids) and gaps (the chunks that belong there)."""
+    # A plain dictionary of at most COMMON_CHUNKS chunks.
+    sent = docs.sparkSession.sparkContext.broadcast((common, model))
+    tail = "decoded string" if model else "k1 long, k2 long, at array<int>, gaps array<string>"
 
-def decode(coded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, ids) -> doc_id, text. Null ids count as an empty array."""
-    return _run(coded.withColumnRenamed("ids", "text"), model_path, lambda t, ids: (t.decode([int(i) for i in ids or []]),), "doc_id long, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, own = sent.value
+        known = table.get
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):  # small steps bound the lists of ids
+                part = batch.slice(start, 500)
+                rows, more = [], []
+                for text in part.column(1):
+                    text, ids, at, gaps = text.as_py(), [], [], []
+                    for chunk in chunks_of(text):
+                        got = known(chunk)
+                        if got is None:
+                            at.append(len(ids))
+                            gaps.append(chunk)
+                        else:
+                            ids += got
+                    rows.append(ids)
+                    if own:
+                        more.append((processor(own).decode(ids),))
+                    else:
+                        h = xxhash.xxh3_128_intdigest((text or "").encode()) if gaps else 0
+                        more.append((*np.array([h >> 64, h & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist(), at, gaps))
+                kinds = [pa.string()] if own else [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.int32())), *(pa.array([m[i] for m in more], k) for i, k in enumerate(kinds))], names=["doc_id", "ids", *(["decoded"] if own else ["k1", "k2", "at", "gaps"])])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, ids array<int>, {tail}")
 
 
-def _run(docs: DataFrame, model_path: str | None, f, schema: str) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """doc_id, ids array<int>, decoded string: the model's ids of the whole text, without begin or end ids, and the library's
+    decoding of these ids.
+
+    Each distinct chunk is segmented once (chunk_table). The ids of the COMMON_CHUNKS most frequent ones, of at most
+    COMMON_CHARS characters, are broadcast; those of any others are joined back by text and position, so that frequent
+    chunks meet in no join. Equal texts are filled once. Null and empty texts give an empty array and an empty string; rows
+    are taken as they are, and an empty table gives no rows. The model's content (a fixed few hundred KB) travels with the
+    job, so executors need no file.
+    """
     model = read_model(model_path)
-    check_model(model)
+    docs = docs.select("doc_id", "text")
+    chunks = cut(chunk_table(docs, model_path), "chunks")
+    common = chunks.where(F.length("chunk") <= COMMON_CHARS).orderBy(F.desc("n"), "chunk").limit(COMMON_CHUNKS)
+    got = common.select("chunk", "ids").toArrow()
+    known = dict(zip(got.column("chunk").to_pylist(), got.column("ids").to_pylist(), strict=True))
+    if chunks.count() <= len(known):
+        return _coded(docs, known, model)
+    coded = cut(_coded(docs, known, None), "coded")
+    gaps = coded.where(F.size("gaps") > 0).select("k1", "k2", "gaps").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("gaps").alias("i", "chunk"))
+    filled = gaps.join(chunks.select("chunk", F.col("ids").alias("own")), "chunk").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("i", "own"))).alias("filled"))
+    whole = coded.where(F.size("gaps") > 0).join(filled, ["k1", "k2"]).select("doc_id", "ids", "at", F.col("filled.own").alias("filled"))
+    rest = coded.where(F.size("gaps") == 0).select("doc_id", "ids", F.array().cast("array<int>").alias("at"), F.array().cast("array<array<int>>").alias("filled"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {"array<int>": pa.list_(pa.int32()), "string": pa.string()}
-    names, types = zip(*(x.strip().split(" ") for x in schema.split(",")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = chunk_table(sent.value)
+        sp = processor(sent.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                out = []
+                for ids, at, filled in zip(*(part.column(c).to_pylist() for c in ("ids", "at", "filled")), strict=True):
+                    row, last = [], 0
+                    for place, own in zip(at, filled, strict=True):
+                        row += ids[last:place]
+                        row += own
+                        last = place
+                    out.append(row + ids[last:])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int32())), pa.array([sp.decode(x) for x in out], pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return whole.unionByName(rest).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """doc_id, ids array<int>, as encode_decode gives them."""
+    return encode_decode(docs, model_path).select("doc_id", "ids")
+
+
+def decode(coded: DataFrame, model_path: str | None = None) -> DataFrame:
+    """(doc_id, ids) -> doc_id, text. Null ids count as an empty array."""
+    sent = coded.sparkSession.sparkContext.broadcast(read_model(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = processor(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # small steps bound the lists of ids
-                part = batch.slice(at, 500)
-                rows = [f(t, x.as_py() or "") for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(types[1:]))], names=list(names))
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sp.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
