@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, small_side, table
+from .simhash import merge
 from .topk import usable
 
 #: Low-dimensional blocks that rotated vectors are split into.
@@ -119,8 +120,6 @@ def near_links(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     met = met.select(*cell, F.least("c", "j").alias("p"), F.greatest("c", "j").alias("q"), (F.col("c") > F.col("j")).cast("int").alias("side"), "flags", "id", "copies", "v")
 
     def run(t: pa.Table) -> pa.Table:
-        from vantage.llm.simhash import merge
-
         size, block = t.column("size")[0].as_py(), t.column("block")[0].as_py()
         v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
         ids, copies, flags, side = (t.column(c).to_numpy() for c in ("id", "copies", "flags", "side"))

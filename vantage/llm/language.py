@@ -15,24 +15,31 @@ from pyspark.sql import Window as W
 from .common import table, worker_store
 from .quality import remainder
 
-HIDDEN, STEPS = 16, 24
-#: Documents of a language, and distinct words of a document, that the network learns from, at most.
-DOCS_PER_LANG, WORDS_PER_DOC = 300, 60
+#: Units of a layer, and the longest sequence in bytes; longer words are cut between characters.
+HIDDEN, STEPS = 16, 96
+#: Documents of a language that the network learns from, at most.
+DOCS_PER_LANG = 300
 #: Words whose results a worker keeps before it starts anew.
 TABLE_WORDS = 400_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(word: bytes) -> list[bytes]:
-    """The word with a space before and behind, cut into sequences of at most STEPS bytes."""
-    w = b" " + word + b" "
-    return [w[i : i + STEPS] for i in range(0, len(w), STEPS)]
+    """The word with a space before and behind, cut between characters into sequences of at most STEPS bytes."""
+    w, out, at = b" " + word + b" ", [], 0
+    while len(w) - at > STEPS:
+        to = at + STEPS
+        while to > at + STEPS - 4 and w[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(w[at:to])
+        at = to
+    return [*out, w[at:]]
 
 
 def padded(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Time-major byte numbers and a mask."""
     n = np.array([len(s) for s in seqs])
-    x = np.frombuffer(b"".join(s.ljust(STEPS, b"\0") for s in seqs), np.uint8).reshape(-1, STEPS)[:, : n.max()]
+    x = np.frombuffer(b"".join(s.ljust(n.max(), b"\0") for s in seqs), np.uint8).reshape(-1, n.max())
     return np.ascontiguousarray(x.T), np.arange(n.max())[:, None] < n
 
 
@@ -43,9 +50,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Two gated recurrent layers, one for each direction, and a softmax over the languages at every byte."""
 
-    def __init__(self, langs: list[str], seed: int = 3) -> None:
+    def __init__(self, langs: list[str], p: dict[str, np.ndarray] | None = None, key: str | None = None, seed: int = 3) -> None:
         rng, h, k = np.random.default_rng(seed), HIDDEN, len(langs)
-        self.langs, self.key = langs, uuid.uuid4().hex
+        self.langs, self.key = langs, key or uuid.uuid4().hex
+        if p is not None:
+            self.p = p
+            return
         self.p = {"out": rng.normal(0, 0.1, (2 * h, k)), "bias": np.zeros(k)}
         for d in "fb":
             self.p |= {f"{d}x": rng.normal(0, 0.3, (256, 3 * h)), f"{d}u": rng.normal(0, h**-0.5, (h, 3 * h)), f"{d}c": np.zeros(3 * h)}
@@ -162,17 +172,19 @@ class WordTable:
 
 
 def train(docs: DataFrame, learn, docs_per_lang: int = DOCS_PER_LANG) -> Network | None:
-    """The network of at most docs_per_lang documents of each language, those of the smallest hashes, and of the
-    WORDS_PER_DOC distinct words of the smallest hashes in each whole text. learn: a condition.
+    """The network of at most docs_per_lang documents of each language, those of the smallest hashes, and of all distinct
+    words of their whole texts. learn: a condition.
 
-    Null languages, null texts and texts without words are left out; None if nothing is left.
+    Null languages, null texts and texts without words are left out; of a repeated doc_id all rows are learnt from; None
+    if nothing is left.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    pick = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_lang).select("doc_id", "lang").distinct()
-    hashed = F.transform(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
-    words = F.transform(F.slice(F.array_sort(hashed), 1, WORDS_PER_DOC), lambda x: x["w"])
-    got = docs.join(F.broadcast(pick), ["doc_id", "lang"]).select("doc_id", "lang", words.alias("w")).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
-    pairs = sorted({(s, r["lang"]) for r in got for w in r["w"] if w for s in windows(w.encode())})
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h")).distinct()
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id")) <= docs_per_lang
+    # The smallest of each of 64 parts of a language, then the smallest of those.
+    some = rows.withColumn("part", F.pmod("h", F.lit(64))).withColumn("own", first("lang", "part")).where("own")
+    pick = some.withColumn("own", first("lang")).where("own").select("doc_id", "lang")
+    words = docs.join(F.broadcast(pick), ["doc_id", "lang"]).select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("w")).where("w <> ''").distinct()
+    pairs = sorted({(s, k) for k, w in zip(*(c.to_pylist() for c in words.toArrow().columns), strict=True) for s in windows(w.encode())})
     if not pairs:
         return None
     langs = sorted({k for _, k in pairs})
@@ -186,10 +198,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     Texts that are null or have no letter, and all texts if there is no network, give `und` with score 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    # Plain arrays, so that workers need no copy of the package to read them.
+    sent = docs.sparkSession.sparkContext.broadcast(net and (net.langs, net.p, net.key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent.value and Network(*sent.value)
         kept = worker_store().get("words")
         if model is not None and (kept is None or kept.net.key != model.key):
             kept = worker_store()["words"] = WordTable(model)
