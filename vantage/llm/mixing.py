@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, table
+from .common import cut, small_side, table
 
-#: Blocks of near-equal words that each source's permuted documents form.
-BLOCKS = 512
+#: Blocks of near-equal words that each source's permuted documents form, and rows of a block on average: sources of more
+#: than their product form more blocks, by powers of two.
+BLOCKS, BLOCK_ROWS = 512, 100_000
+#: Units of the splitting tree that are ordered in one task on average; more are split in strata of sources.
+STRATUM = 500_000
 #: Output shards, a power of two: the tree halves them level by level.
 SHARDS = 16
 
@@ -18,11 +21,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def permuted(name: str = "mix") -> Column:
+    """A row's place in its source's permutation; equal for rows of equal doc_id, text and source."""
+    return F.xxhash64(F.lit(name), "doc_id", "text", "source")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, perm (the row's place in its source's permutation) and block (its block by perm)."""
-    perm = F.xxhash64(F.lit("mix"), "doc_id", "text", "source")
-    out = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), perm.alias("perm"))
-    return out.withColumn("block", F.shiftrightunsigned("perm", 64 - (BLOCKS - 1).bit_length()).cast("int"))
+    """doc_id, source, size, perm (the row's place in its source's permutation), perm2 (more bits that tell rows apart) and
+    block (its block by perm)."""
+    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), permuted().alias("perm"), permuted("mix2").alias("perm2")), "sized")
+    large = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCKS * BLOCK_ROWS)
+    large = cut(large.select(F.col("source").alias("s"), F.ceil(F.log2(F.col("n") / (BLOCKS * BLOCK_ROWS))).cast("int").alias("more")), "large")
+    bits = F.lit((BLOCKS - 1).bit_length())
+    if not large.isEmpty():
+        # One row for each BLOCKS * BLOCK_ROWS rows of docs at most.
+        rows = rows.join(F.broadcast(large), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        bits = bits + F.coalesce("more", F.lit(0))
+    block = F.call_function("shiftrightunsigned", F.col("perm"), F.lit(64) - bits)
+    return rows.select("doc_id", "source", "size", "perm", "perm2", block.alias("block"))
 
 
 def source_targets(per_source: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -49,14 +73,16 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     A node of the tree holds the units of all sources that its shards share. Its left half draws half of them without
     replacement: units of the node are ordered by a hash anew at each level and the lower half goes left, so the
     sources' counts there are multivariate hypergeometric and add up to the node's exactly. Only unit numbers, BLOCKS
-    for each source and epoch, are handled here, never documents.
+    for each source and epoch, are handled here, never documents. Beyond STRATUM units, sources are dealt in strata by
+    hash and each stratum of a node is split on its own, so that no task orders all units.
     """
-    unit = quotas.where("units > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).withColumn("node", F.lit(0).cast("long"))
+    strata = 1 + (quotas.agg(F.sum("units")).first()[0] or 0) // STRATUM
+    unit = quotas.where("units > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).withColumn("node", F.lit(0).cast("long")).withColumn("stratum", F.pmod(F.xxhash64("source"), F.lit(strata)))
     for level in range(shards.bit_length() - 1):
-        own = W.partitionBy("node")
+        own = W.partitionBy("node", "stratum")
         at = F.row_number().over(own.orderBy(F.xxhash64(F.lit(f"level{level}"), "source", "unit"), "source", "unit")) - 1
-        half = F.floor((F.count(F.lit(1)).over(own) + F.pmod("node", F.lit(2))) / 2)
-        unit = unit.select("source", "unit", (F.col("node") * 2 + (at >= half).cast("long")).alias("node"))
+        half = F.floor((F.count(F.lit(1)).over(own) + F.pmod(F.col("node") + F.col("stratum"), F.lit(2))) / 2)
+        unit = unit.select("source", "unit", "stratum", (F.col("node") * 2 + (at >= half).cast("long")).alias("node"))
     got = unit.groupBy("source", F.col("node").cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     run = W.partitionBy("source").orderBy("shard")
     upto = F.sum("n").over(run)
@@ -73,7 +99,7 @@ def plan(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     place orders a shard's rows. All draws are hashes of the rows: reruns agree. Null sources form one source, last;
     null texts have size 0 and are taken with their block; an empty table gives no rows; a repeated row is permuted like any other.
     """
-    rows = cut(sized(docs), "sized")
+    rows = sized(docs)
     blocks = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
     targets = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -97,7 +123,7 @@ def plan(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     out = out.withColumn("copies", F.coalesce("copies", F.array().cast("array<struct<epoch:int,shard:int>>"))).withColumn("ahead", ahead)
     last = F.col("touched") & (F.col("ahead") + F.col("size") <= F.col("rest"))
     taken = F.filter("copies", lambda c: (c["epoch"] < F.col("full")) | last)
-    out = cut(out.select("doc_id", "source", "size", "source_size", "target", "full", "perm", "block", "ahead", taken.alias("copies")), "taken")
+    out = cut(out.select("doc_id", "source", "size", "source_size", "target", "full", "perm", "perm2", "block", "ahead", taken.alias("copies")), "taken")
     gap = out.groupBy("source").agg((F.first("target") - F.sum(F.size("copies") * F.col("size"))).alias("gap"))
     near = out.where((F.size("copies") == F.col("full")) & (F.col("full") < most)).join(gap.select(F.col("source").alias("s"), "gap"), F.col("source").eqNullSafe(F.col("s")))
     near = near.groupBy("s").agg(F.first("gap").alias("gap"), F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "perm", "block", "ahead", "doc_id", "size")).alias("best"))
@@ -106,18 +132,29 @@ def plan(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     more = F.array(F.struct(F.col("full").alias("epoch"), F.pmod(F.col("perm"), F.lit(shards)).cast("int").alias("shard")))
     taken = F.when(F.col("p").isNotNull(), F.concat("copies", more)).otherwise(F.col("copies"))
     copies = F.transform(taken, lambda c: F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"), F.xxhash64(c["shard"], c["epoch"], F.col("perm")).alias("place")))
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), "copies", "perm")
+    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), "copies", "perm", "perm2")
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus: docs' rows, each as often as the plan takes it, with mix_epoch, mix_shard and mix_place.
+def mix(docs: DataFrame, places: bool = True, **settings) -> DataFrame:
+    """The mixed corpus: docs' rows, each as often as the plan takes it, with mix_epoch, mix_shard and mix_place (with
+    underscores behind them where docs has such columns; without them if places is off).
 
     Rows of a shard are in mix_place's order; write with repartition("mix_shard").sortWithinPartitions("mix_place").
+    Rows equal in doc_id, text and source are taken as often as the plan takes them together, with the other columns of one.
     """
-    p = plan(docs, **settings).where(F.size("copies") > 0).groupBy("perm").agg(F.first("copies").alias("copies"))
-    keyed = docs.withColumn("perm", F.xxhash64(F.lit("mix"), "doc_id", "text", "source"))
-    out = keyed.join(p, "perm").withColumn("copy", F.explode("copies"))
-    return out.select(*docs.columns, F.col("copy.epoch").alias("mix_epoch"), F.col("copy.shard").alias("mix_shard"), F.col("copy.place").alias("mix_place"))
+    own = ["epoch", "shard", "place"]
+    copy, key = fresh("mix_copy", docs.columns), [fresh("mix_perm", docs.columns), fresh("mix_perm2", docs.columns)]
+    copies = cut(plan(docs, **settings).where(F.size("copies") > 0).select(*(F.col(x).alias(k) for x, k in zip(("perm", "perm2"), key, strict=True)), F.col("copies").alias(copy)), "copies")
+    again = cut(copies.groupBy(*key).count().where("count > 1").select(*key), "again")
+    keyed = docs.withColumn(key[0], permuted()).withColumn(key[1], permuted("mix2"))
+    if again.isEmpty():
+        out = keyed.join(copies, key).withColumn(copy, F.explode(copy))
+    else:
+        twice = small_side(again)
+        once = keyed.join(copies.join(twice, key, "left_anti"), key).withColumn(copy, F.explode(copy))
+        more = copies.join(twice, key).withColumn(copy, F.explode(copy))
+        out = once.unionByName(keyed.join(twice, key, "left_semi").dropDuplicates(key).join(more, key))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{copy}.{c}").alias(fresh(f"mix_{c}", docs.columns)) for c in own if places))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
