@@ -1,7 +1,10 @@
 """Training-data operators against brute force, on edge cases and on the small tables."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import corpus_pipeline
@@ -218,17 +221,49 @@ def test_mixing(spark):
     assert rows.sort_values("doc_id").taken.tolist() == mixing.plan(docs.repartition(5)).toPandas().sort_values("doc_id").taken.tolist()
     mixed = mixing.mix(docs).toPandas()
     assert len(mixed) == sum(len(c) for c in rows.copies) and mixed.groupby("mix_shard").size().std() < 10
+    weights = {k: (3.0, 1.0, 2.0)[i % 3] for i, k in enumerate(sorted(by.index.dropna()))}
+    free, left, target = dict(by["size"].items()), 1.5 * by["size"].sum(), {}
+    while free:  # what a source can't take is dealt to the others
+        level = left / sum(weights[k] for k in free)
+        full = [k for k in free if weights[k] * level > 2 * free[k]]
+        if not full:
+            target |= {k: weights[k] * level for k in free}
+            break
+        for k in full:
+            target[k] = 2 * free.pop(k)
+            left -= target[k]
+    assert all(abs(by.target[k] - t) < 1e-6 * max(1, t) for k, t in target.items())
     edge = mixing.plan(documents(spark)).toPandas()
     assert len(edge) == documents(spark).count() and mixing.plan(documents(spark, empty=True)).count() == 0
 
 
-def test_pieces(spark):
+def test_mixing_clashing_columns_and_repeated_rows(spark, monkeypatch):
+    rows = [(i % 20, f"text {i % 20} " * (1 + i % 7), f"s{i % 3}", i, "perm", "copy", "copies", "e") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own int, perm string, copy string, copies string, mix_epoch string")
+    for strata in (mixing.STRATUM, 10):
+        monkeypatch.setattr(mixing, "STRATUM", strata)
+        plan, out = mixing.plan(docs).toPandas(), mixing.mix(docs)
+        assert out.columns == [*docs.columns, "mix_epoch_", "mix_shard", "mix_place"]
+        got = out.toPandas()
+        assert len(got) == sum(len(c) for c in plan.copies) and set(got.perm) == {"perm"} and set(got["copy"]) == {"copy"} and set(got.copies) == {"copies"}
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    fine = mixing.plan(docs.dropDuplicates(["doc_id"])).toPandas().groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((fine.target - fine.taken).abs() <= 28).all()
+    assert mixing.mix(docs, places=False).columns == docs.columns and mixing.mix(documents(spark, empty=True)).count() == 0
+
+
+def test_pieces(spark, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.public_model())
     texts = ["", " ", "  lead and trail  ", "▁marks▁ ▁▁", "tab\tand\nline\r\n", "日本語 émoji 🎉🎉 \u0000 x", "<s> </s> <unk> <0x41>", "a" * 1000, LONG[:5000], None]
     rng = random.Random(1)
     texts += ["".join(rng.choice(" ▁abé<\n0") for _ in range(rng.randrange(80))) for _ in range(300)]
-    got = {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in pieces.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {i: (ids := sp.encode(t or ""), sp.decode(ids)) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5])], "doc_id long, text string")
+    for common in (pieces.COMMON_CHUNKS, 40, 0):  # 0: every chunk is joined back by position
+        monkeypatch.setattr(pieces, "COMMON_CHUNKS", common)
+        got = pieces.encode_decode(docs).collect()
+        assert len(got) == len(texts) + 1
+        assert {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in got} == {i: (ids := sp.encode(t or ""), sp.decode(ids)) for i, t in enumerate(texts)}
     coded = pieces.encode(documents(spark))
     assert coded.count() == documents(spark).count() == pieces.decode(coded).count() and pieces.encode(documents(spark, empty=True)).count() == 0
 
@@ -307,6 +342,31 @@ def test_sharding_keeps_copies_together(spark):
     assert sum(out[4 * g : 4 * g + 3].nunique() > 1 for g in range(100)) <= 5
 
 
+def test_sharding_splits_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    docs = spark.createDataFrame([(i, "one text" if i < 600 else f"own {i}") for i in range(1200)], "doc_id long, text string")
+    out = sharding.shard(docs).toPandas()
+    n = out.groupby("shard").size()
+    assert len(out) == 1200 and len(n) == 24 and n.max() - n.min() <= 1
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    code = f"""
+import sys
+sys.path[:0] = [{str(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))!r}]
+from pyspark.sql import SparkSession, functions as F
+s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate()
+from vantage.llm import embedding, language
+e = s.createDataFrame([(i, 1, [1.0, i / 100.0]) for i in range(6)], 'vec_id long, label int, embedding array<double>')
+assert embedding.near_links(e).agg(F.max('n_links')).first()[0] == 5
+d = s.createDataFrame([(i, 'ein kleiner text' if i % 2 else 'some small text', 'de' if i % 2 else 'en') for i in range(8)], 'doc_id long, text string, lang string')
+net = language.train(d, F.lit(True))
+assert language.identify(d, net).where('score > 0').count() == 8
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).returncode == 0
+
+
 def test_quality(spark):
     rows = quality.query(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     assert rows.score.between(0, 1).all() and (rows[rows.held_out].predicted == rows[rows.held_out].quality).mean() >= 0.85
@@ -330,12 +390,17 @@ def test_language(spark):
 def test_language_learns_from_whole_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(language.Network, "fit", lambda net, seqs, y: seen.extend(zip(seqs, y, strict=True)))
-    head = [f"licence{i}" for i in range(language.WORDS_PER_DOC)]
-    rows = [(k, " ".join(head + [f"{lang}{i}" for i in range(600)]), lang) for k, lang in enumerate(("de", "en"))]
+    rows = [(k, " ".join([f"licence{i}" for i in range(60)] + [f"{lang}{i}" for i in range(600)]), lang) for k, lang in enumerate(("de", "en"))]
     net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
     for k, lang in enumerate(net.langs):
         words = [s for s, y in seen if y == k]
-        assert len(words) == language.WORDS_PER_DOC and sum(s.startswith(f" {lang}".encode()) for s in words) > 40
+        assert len(words) == 660 and sum(s.startswith(f" {lang}".encode()) for s in words) == 600
+
+
+def test_long_words_are_cut_between_characters():
+    word = ("ä€𝄞x" * 200).encode()
+    parts = language.windows(word)
+    assert b"".join(parts) == b" " + word + b" " and all(len(x) <= language.STEPS and x.decode() is not None for x in parts)
 
 
 def test_gradient_is_exact():
@@ -378,6 +443,15 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
+    for empty in (False, True):
+        edge = documents(spark, empty).drop("lang").withColumns({"quality_score": F.lit("mine"), "lang": F.lit("en")})
+        rows = edge.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, edge, SF)
+            assert (out.columns == edge.columns or name == "sentencepiece") and (empty or out.count() <= 2 * rows), name
+            if not empty and name != "sentencepiece" and out.count():
+                assert {tuple(r) for r in out.select("quality_score", "n_dropped", "shard", "fp").collect()} == {("mine", "z", "x", "y")}, name
+            assert not empty or out.count() == 0
     out = corpus_pipeline.run(spark, SF).toPandas()
     sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.public_model())
     assert 0 < out.doc_id.nunique() <= n and all(list(r.ids) == sp.encode(r.decoded) for r in out.head(20).itertuples())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, dense_position, discard, table
+from .common import cut, dense_position, discard, small_side, table
 
 LAW = "rows"
 #: Rows that are sorted together when positions are given out.
@@ -33,8 +33,9 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int) -> Data
         cells = now.groupBy("g1", "g2", "label").agg(F.count(F.lit(1)).alias("n"))
         load = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("label")).join(now.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "left").select("label", F.greatest(F.lit(0.0), 1 - F.coalesce("n", F.lit(0)) / F.lit(quota)).alias("free"))
         score = F.struct((F.col("n") * (F.col("free") + 1e-6)).alias("s"), F.xxhash64("g1", "g2", "label").alias("h"), "label")
-        wish = cells.join(room(load), "label").groupBy("g1", "g2").agg(F.max(score).alias("best")).select("g1", "g2", F.col("best.label").alias("to"))
-        wanting = now.join(wish, ["g1", "g2"])
+        wish = cut(cells.join(room(load), "label").groupBy("g1", "g2").agg(F.max(score).alias("best")).select("g1", "g2", F.col("best.label").alias("to")), "wish")
+        # One row for each group; a hot group's rows are not gathered by it where it is broadcast, and split by AQE where not.
+        wanting = now.join(small_side(wish), ["g1", "g2"])
         asked = wanting.where("to <> label").groupBy("to").agg(F.count(F.lit(1)).alias("asked"))
         share = asked.join(room(load), F.col("to") == F.col("label")).select("to", F.least(F.lit(1.0), F.col("free") * quota / F.col("asked")).alias("let_in"))
         moves = (F.pmod(F.xxhash64(F.lit(k), "perm"), F.lit(1_000_000)) < F.col("let_in") * 1_000_000) & (F.col("to") != F.col("label"))
@@ -57,13 +58,15 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
     total = rows.count()
     buckets = max(8, total // BUCKET_ROWS)
     groups = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    linked = cut(rows.join(groups.select("g1", "g2"), ["g1", "g2"], "left_semi"), "linked")
+    groups = small_side(cut(groups, "groups"))
+    linked = cut(rows.join(groups, ["g1", "g2"]), "linked")
     single = rows.join(groups.select("g1", "g2"), ["g1", "g2"], "left_anti")
     labels = propagate(linked, max(1, total) / shards, shards, rounds)
     quota = [total // shards + (i < total % shards) for i in range(shards)]
     limit = F.array(*(F.lit(q) for q in quota))
-    placed = dense_position(labels, ["label"], [F.col("perm"), F.col("doc_id")], F.struct("g1", "g2"), max(4, buckets // shards), "at")
-    placed = cut(placed.withColumn("shard", F.when(F.col("at") < F.element_at(limit, F.col("label") + 1), F.col("label"))).drop("at", "label"), "placed")
+    # Rows of a group stand together in a label's order; those of a group beyond BUCKET_ROWS in several parts.
+    placed = dense_position(labels, ["label"], [F.col("perm"), F.col("doc_id")], F.struct("g1", "g2", F.pmod("perm", F.ceil(F.col("members") / BUCKET_ROWS))), max(4, buckets // shards), "at")
+    placed = cut(placed.withColumn("shard", F.when(F.col("at") < F.element_at(limit, F.col("label") + 1), F.col("label"))).drop("at", "label", "members"), "placed")
     held = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # `shards` rows
     ends, sum_ = [], 0
     for i, q in enumerate(quota):
