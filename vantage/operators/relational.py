@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vantage.functions import vectors as V
+from vantage.plans.common import connected_components, cut, discard
 
-def order_statistics(df: DataFrame, column: str, places: list[int], sorted_rows: int = 100_000) -> list[float]:
-    """The elements at the 0-based places of the column's sorted non-null values, by histogram refinement: no global sort.
 
-    Each round is one aggregate that narrows a range; at most sorted_rows values of a range are then sorted.
+def order_statistics(df: DataFrame, column: str, places: list[int], sorted_rows: int = 100_000) -> list[float | None]:
+    """The elements at the 0-based places of the column's sorted values, null and NaN left out, by histogram refinement: no
+    global sort. None for every place of a table without values; a place out of range raises an error.
+
+    The column is written once; each round is one aggregate that narrows a range, and at most sorted_rows values of it are
+    then sorted.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    x = cut(df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)"), "values")
     lo0, hi0, n = x.agg(F.min("x"), F.max("x"), F.count("x")).first()
     out = []
-    for place in places:
+    for place in places if n else []:
         lo, hi, skip, size = lo0, hi0, place, n
-        if not 0 <= place < (n or 0):
+        if not 0 <= place < n:
             raise IndexError(place)
         inside = x
         while size > sorted_rows and lo < hi:
@@ -29,20 +34,40 @@ def order_statistics(df: DataFrame, column: str, places: list[int], sorted_rows:
                 skip -= r["n"]
             inside = x.where(F.col("x").between(lo, hi))
         out.append(lo if lo == hi else inside.orderBy("x").limit(skip + 1).agg(F.max("x")).first()[0])
-    return out
+    discard(x)
+    return out or [None] * len(places)
+
+
+def dense_ids(df: DataFrame, key: str, name: str, slices: int = 64) -> DataFrame:
+    """df (distinct whole numbers in key) with name: their ranks from 0. Ranges of keys are ranked on their own, with offsets
+    from the counts of the ranges before."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    t = df.withColumn("__slice", F.floor((F.col(key) - (lo or 0)) / max(1, ((hi or 0) - (lo or 0)) // slices + 1)))
+    n = t.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    n = n.select("__slice", F.coalesce(F.sum("__n").over(W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # `slices` rows
+    r = F.row_number().over(W.partitionBy("__slice").orderBy(key)) - 1
+    return t.withColumn("__r", r).join(F.broadcast(n), "__slice").withColumn(name, (F.col("__r") + F.col("__before")).cast("long")).drop("__slice", "__r", "__before")
 
 
 def valid_tracks(refs: DataFrame, track: str, view: str) -> DataFrame:
-    """Tracks of which no view has two features, with dense new ids."""
+    """track, new_id: tracks of which no view has two features, numbered from 0 in their order."""
     ok = refs.groupBy(track).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(view).alias("views")).where("n = views").select(track)
-    return ok
+    return dense_ids(ok, track, "new_id")
 
 
 def view_pairs(refs: DataFrame, track: str, view: str) -> DataFrame:
-    """(v1 < v2, n): common tracks of view pairs, from each track's own views, so no pair of views is formed twice."""
-    views = refs.groupBy(track).agg(F.sort_array(F.collect_set(view)).alias("vs"))
-    pairs = F.flatten(F.transform("vs", lambda a: F.transform(F.filter("vs", lambda b: b > a), lambda b: F.struct(a.alias("v1"), b.alias("v2")))))
-    return views.select(F.explode(pairs).alias("p")).groupBy("p.v1", "p.v2").agg(F.count(F.lit(1)).alias("n"))
+    """(v1 < v2, n): common tracks of view pairs. Rows of a track meet in a join, which adaptive execution may split; counts
+    are partial before they are shuffled."""
+    own = refs.select(track, view).distinct()
+    both = own.select(track, F.col(view).alias("v1")).join(own.select(track, F.col(view).alias("v2")), track).where("v1 < v2")
+    return both.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def large_errors(errors: DataFrame, column: str, factor: float = 10.0) -> DataFrame:
+    """Rows whose error is above factor times the upper median; none of an empty table."""
+    n = errors.where(F.col(column).isNotNull()).count()
+    middle = order_statistics(errors, column, [n // 2])[0] if n else None
+    return errors.where(F.lit(False) if middle is None else F.col(column) > factor * middle)
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -64,14 +89,110 @@ def adjacency(faces: DataFrame) -> DataFrame:
 
 def renumber(vertices: DataFrame, faces: DataFrame, deleted: Column) -> DataFrame:
     """Faces left when the vertices of the condition go, with vertex ids counted anew in order."""
-    kept = vertices.where(~deleted).select("vid")
-    new = kept.select("vid", (F.row_number().over(W.orderBy("vid")) - 1).alias("n"))
+    new = dense_ids(vertices.where(~deleted).select("vid"), "vid", "n")
     out = faces
     for c in ("v0", "v1", "v2"):
         out = out.join(new.select(F.col("vid").alias(c), F.col("n").alias(f"n{c}")), c)
     return out.select("fid", *(F.col(f"n{c}").cast("long").alias(c) for c in ("v0", "v1", "v2")))
 
 
+def delete_vertices(vertices: DataFrame, deleted: Column) -> DataFrame:
+    """Vertices left, all of their columns with new ids from 0."""
+    return dense_ids(vertices.where(~deleted), "vid", "new_vid")
+
+
+def delete_invalid_faces(faces: DataFrame) -> DataFrame:
+    """Without faces whose three corners are one vertex."""
+    return faces.where((F.col("v0") != F.col("v1")) | (F.col("v0") != F.col("v2")))
+
+
+def unreferenced(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Vertices that no face has."""
+    return vertices.join(corners(faces).select("vid").distinct(), "vid", "left_anti")
+
+
+def component_sizes(faces: DataFrame) -> DataFrame:
+    """vid, component, size: the connected part of each vertex of a face, and its number of vertices."""
+    c = corners(faces)
+    e = faces.select(F.col("v0").cast("long").alias("u"), F.col("v1").cast("long").alias("v")).union(faces.select(F.col("v0").cast("long"), F.col("v2").cast("long")))
+    comp = c.select(F.col("vid").cast("long")).distinct().join(connected_components(e).withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+    return comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+
+
+def delete_small_components(vertices: DataFrame, faces: DataFrame, threshold: int) -> DataFrame:
+    """Vertices of components of more than `threshold` vertices; a vertex without a face is a component of one."""
+    sized = vertices.join(component_sizes(faces), "vid", "left")
+    return sized.where(F.coalesce("size", F.lit(1)) > threshold).drop("component", "size")
+
+
+def mesh_merge(vertices: DataFrame, faces: DataFrame, more_vertices: DataFrame, more_faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two meshes as one: the second's ids follow the first's."""
+    v, f = vertices.agg(F.max("vid")).first()[0], faces.agg(F.max("fid")).first()[0]
+    v, f = (-1 if x is None else x for x in (v, f))
+    moved = more_faces.withColumns({"fid": F.col("fid") + f + 1} | {c: F.col(c) + v + 1 for c in ("v0", "v1", "v2")})
+    return vertices.unionByName(more_vertices.withColumn("vid", F.col("vid") + v + 1)), faces.unionByName(moved)
+
+
+def invert_faces(faces: DataFrame) -> DataFrame:
+    """Faces turned around; normals of a vertex or face table are negated by the caller's columns."""
+    return faces.withColumns({"v0": F.col("v2"), "v2": F.col("v0")})
+
+
+def corner_positions(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """fid, v0, v1, v2 and p0, p1, p2: the corners' (x, y, z)."""
+    at = vertices.select("vid", F.array(*(F.col(c).cast("double") for c in "xyz")).alias("p"))
+    out = faces.select("fid", "v0", "v1", "v2")
+    for k in range(3):
+        out = out.join(at.select(F.col("vid").alias(f"v{k}"), F.col("p").alias(f"p{k}")), f"v{k}")
+    return out
+
+
+def face_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """fid, v0, v1, v2, p0, p1, p2, n: the unit normal of each face, zero for faces without area."""
+    t = corner_positions(vertices, faces)
+    p = [V.parts(F.col(f"p{k}"), 3) for k in range(3)]
+    n = V.cross(V.sub(p[1], p[0]), V.sub(p[2], p[0]))
+    size = V.norm(n)
+    return t.withColumn("n", V.pack([F.when(size > 0, x / F.nullif(size, F.lit(0.0))).otherwise(0.0) for x in n]))
+
+
+def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """vid, nx, ny, nz: the unit mean of the normals of a vertex's faces, weighted by their angles there; zero without one."""
+    t = face_normals(vertices, faces)
+    p = [V.parts(F.col(f"p{k}"), 3) for k in range(3)]
+
+    def angle(k: int) -> Column:
+        a, b = V.normalize(V.sub(p[(k + 1) % 3], p[k])), V.normalize(V.sub(p[(k + 2) % 3], p[k]))
+        return F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(a, b)))), F.lit(0.0))
+
+    each = t.select("n", F.explode(F.array(*(F.struct(F.col(f"v{k}").alias("vid"), angle(k).alias("w")) for k in range(3)))).alias("c"))
+    sums = each.groupBy("c.vid").agg(*(F.sum(F.get("n", F.lit(i)) * F.col("c.w")).alias(f"s{i}") for i in range(3)))
+    size = F.sqrt(sum(F.col(f"s{i}") * F.col(f"s{i}") for i in range(3)))
+    out = sums.select("vid", *((F.when(size > 0, F.col(f"s{i}") / F.nullif(size, F.lit(0.0))).otherwise(0.0)).alias(f"n{c}") for i, c in enumerate("xyz")))
+    return vertices.select("vid").join(out, "vid", "left").fillna(0.0, ["nx", "ny", "nz"])
+
+
+def vertex_classes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """vid, class: unreferenced, simple (a closed ring of faces), border (an open one), or complex.
+
+    The sides that a vertex's faces turn towards it, from the next corner to the last, are a ring's steps: it is closed if
+    every corner has one step in and one out, open if one has none in and one none out, and all steps hang together.
+    """
+    step = lambda a, b, c: F.struct(F.col(a).alias("vid"), F.col(b).alias("u"), F.col(c).alias("w"))
+    steps = faces.select(F.explode(F.array(step("v0", "v1", "v2"), step("v1", "v2", "v0"), step("v2", "v0", "v1"))).alias("s")).select("s.vid", "s.u", "s.w")
+    ends = steps.select("vid", F.col("u").alias("o"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(steps.select("vid", "w", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("vid", "o").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    shape = ends.groupBy("vid").agg(F.max(F.greatest("out", "in")).alias("most"), F.count_if(F.col("in") == 0).alias("starts"), F.count_if(F.col("out") == 0).alias("stops"), F.count(F.lit(1)).alias("corners"))
+    # Whether the steps hang together: components of the corners around each vertex.
+    linked = shape.where("most = 1").select("vid").join(steps, "vid")
+    node = lambda c: F.xxhash64("vid", c)
+    comp = connected_components(linked.select(node("u").alias("u"), node("w").alias("v")))
+    parts = linked.select("vid", node("u").alias("node")).join(comp, "node").groupBy("vid").agg(F.countDistinct("component").alias("parts"))
+    told = shape.join(parts, "vid", "left")
+    kind = F.when((F.col("most") == 1) & (F.col("parts") == 1) & (F.col("starts") == 0) & (F.col("stops") == 0), "simple").when((F.col("most") == 1) & (F.col("parts") == 1) & (F.col("starts") == 1) & (F.col("stops") == 1), "border").otherwise("complex")
+    return vertices.select("vid").join(told.select("vid", kind.alias("class")), "vid", "left").fillna("unreferenced", ["class"])
+
+
 def normalised(df: DataFrame, column: str, out: str) -> DataFrame:
     """(v - min) / (max - min), zero where all are equal."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vantage.functions import columns as C
+from vantage.functions import geometry as G
 from vantage.operators import matching as M
 from vantage.operators import relational as R
 
-from .common import connected_components, table
+from .common import connected_components, cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -152,23 +153,16 @@ def lsh_rank(s, d):
 # --- tracks and bundles: orders are tracks, suppliers are views, line items are observations ---
 
 
-@query("WITH RECURSIVE e AS (SELECT n_nationkey AS u, 100 + n_regionkey AS v FROM nation), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, u AS w FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.w = b.u) SELECT CAST(u AS BIGINT) AS node, CAST(min(w) AS BIGINT) AS component FROM r GROUP BY u")
+@query("WITH RECURSIVE " + MUTUAL[5 : MUTUAL.index(", u AS (")] + ", b AS (SELECT i AS u, j AS v FROM m12 UNION SELECT j, i FROM m12 UNION SELECT i, j FROM m21 UNION SELECT j, i FROM m21), r AS (SELECT u, u AS w FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.w = b.u) SELECT u AS node, min(w) AS component FROM r GROUP BY u")
 def tracks_components(s, d):
-    e = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("u"), (F.col("n_regionkey") + 100).cast("long").alias("v"))
-    return connected_components(e)
+    """Tracks of the matches of every feature with its nearest one of the other view, in both directions."""
+    ways = [M.ratio_test(M.nearest_two(view(s, d, p), view(s, d, 1 - p)), 1.0).select(F.col("i").alias("u"), F.col("j").alias("v")) for p in (0, 1)]
+    return connected_components(ways[0].union(ways[1]))
 
 
 @query("WITH t AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_suppkey)) SELECT l_orderkey AS track, row_number() OVER (ORDER BY l_orderkey) - 1 AS new_id FROM t")
 def tracks_conflict_filter(s, d):
-    from .common import dense_position
-
-    t = R.valid_tracks(table(s, d, "lineitem"), "l_orderkey", "l_suppkey")
-    lo, hi = t.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
-    t = t.withColumn("slice", F.floor((F.col("l_orderkey") - (lo or 0)) / max(1, ((hi or 0) - (lo or 0)) // 64 + 1)))
-    n = t.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("slice", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 64 rows
-    r = F.row_number().over(W.partitionBy("slice").orderBy("l_orderkey")) - 1
-    return t.withColumn("r", r).join(F.broadcast(n), "slice").select(F.col("l_orderkey").alias("track"), (F.col("r") + F.col("before")).cast("long").alias("new_id"))
+    return R.valid_tracks(table(s, d, "lineitem"), "l_orderkey", "l_suppkey").withColumnRenamed("l_orderkey", "track")
 
 
 @query("SELECT l_orderkey AS track, CAST(floor(avg(l_quantity) + 0.5) AS BIGINT) AS r, CAST(floor(avg(l_linenumber) + 0.5) AS BIGINT) AS g FROM lineitem GROUP BY 1")
@@ -184,11 +178,15 @@ def candidate_pairs(s, d):
     return R.view_pairs(table(s, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query(f"WITH {PAIRS} SELECT v1, v2, round((1 / (1 + exp((50 - n) / 10.0))) * (1 / (1 + exp((5.0 - (v2 - v1)) / 2.0))), 9) AS score FROM p")
+LOGISTIC = "greatest(0, least(1, 2 / (1 + exp({})) - 1))"
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT *, floor(n * ((v1 * 7 + v2 * 13) % 100) / 100.0) AS inliers, (v1 + v2) % 12 AS angle FROM p) SELECT v1, v2, round({LOGISTIC.format('(20 - n) * 6 / 200.0')} * {LOGISTIC.format('(1 - angle) * 6 / 8.0')} * {LOGISTIC.format('(inliers / n - 0.7) * 6 / 0.4')}, 9) AS score FROM q")
 def pair_score(s, d):
+    """Scores of view pairs by their matches, with made-up numbers of inliers and angles."""
     p = R.view_pairs(table(s, d, "lineitem"), "l_orderkey", "l_suppkey")
-    logistic = lambda x, mid, width: 1 / (1 + F.exp((mid - x) / width))
-    return p.select("v1", "v2", F.round(logistic(F.col("n"), 50, 10.0) * logistic(F.col("v2") - F.col("v1"), 5.0, 2.0), 9).alias("score"))
+    inliers = F.floor(F.col("n") * ((F.col("v1") * 7 + F.col("v2") * 13) % 100) / 100.0)
+    return p.select("v1", "v2", F.round(G.pair_score(F.col("n").cast("double"), inliers.cast("double"), ((F.col("v1") + F.col("v2")) % 12).cast("double")), 9).alias("score"))
 
 
 @query("SELECT l_suppkey AS view, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 6")
@@ -196,25 +194,36 @@ def next_views(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("view")).agg(F.countDistinct("l_orderkey").alias("n")).where("n > 6")
 
 
-@query("WITH e AS (SELECT l_orderkey AS track, avg(l_discount * l_discount) AS err FROM lineitem GROUP BY 1), k AS (SELECT err, row_number() OVER (ORDER BY err) AS r, count(*) OVER () AS n FROM e) SELECT track, round(err, 9) AS err FROM e WHERE err > 2 * (SELECT err FROM k WHERE r = n // 2 + 1) + 1e-9")
+@query("WITH e AS (SELECT l_orderkey AS track, avg(l_discount * l_discount) AS err FROM lineitem GROUP BY 1), k AS (SELECT err, row_number() OVER (ORDER BY err) AS r, count(*) OVER () AS n FROM e) SELECT track, round(err, 9) AS err FROM e WHERE err > 1.7321 * (SELECT err FROM k WHERE r = n // 2 + 1)")
 def large_error_tracks(s, d):
-    e = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("track")).agg(F.avg(F.col("l_discount") * F.col("l_discount")).alias("err"))
-    middle = R.order_statistics(e, "err", [e.count() // 2])[0]
-    return e.where(F.col("err") > 2 * middle + 1e-9).withColumn("err", F.round("err", 9))
+    """Mean squared errors of tracks above 1.7321 times the upper median (the default is 10 times)."""
+    e = cut(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("track")).agg(F.avg(F.col("l_discount") * F.col("l_discount")).alias("err")), "errors")
+    return R.large_errors(e, "err", 1.7321).withColumn("err", F.round("err", 9))
 
 
-@query("SELECT l_suppkey AS camera, count(*) AS n, round(sum(power(l_extendedprice / 1000 - p_retailprice / 1000 - s_acctbal / 10000, 2)) / count(*), 6) AS mse FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
+@query(
+    "WITH o AS (SELECT l_suppkey, CAST(l_discount AS DOUBLE) AS u, CAST(l_tax AS DOUBLE) AS v, 1 + s_nationkey / 25.0 AS f, s_suppkey / 10.0 AS a, p_size / 10.0 AS x, p_retailprice % 7 AS y, p_partkey % 11 AS z FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), "
+    "c AS (SELECT *, (cos(a) * x - sin(a) * y + 0.5) / (z + 20) AS px, (sin(a) * x + cos(a) * y - 0.5) / (z + 20) AS py FROM o), w AS (SELECT *, 1 + 0.05 * (px * px + py * py) + 0.01 * pow(px * px + py * py, 2) AS warp FROM c) "
+    "SELECT l_suppkey AS camera, count(*) AS n, round(sum(pow(f * warp * px - u, 2) + pow(f * warp * py - v, 2)) / count(*), 6) AS mse FROM w GROUP BY 1"
+)
 def reprojection_mse(s, d):
-    o = table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal"), "l_suppkey").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey")
-    f = F.col("l_extendedprice") / 1000 - F.col("p_retailprice") / 1000 - F.col("s_acctbal") / 10000
-    return o.groupBy(F.col("l_suppkey").alias("camera")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(f * f) / F.count(F.lit(1)), 6).alias("mse"))
+    """Line items are observations, parts are points and suppliers cameras with a rotation about their axis and distortion."""
+    o = table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_discount", "l_tax").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice"), "l_partkey")
+    a, zero, one = F.col("l_suppkey") / 10.0, F.lit(0.0), F.lit(1.0)
+    cam = G.camera(1 + F.col("s_nationkey") / 25.0, rot=[F.cos(a), -F.sin(a), zero, F.sin(a), F.cos(a), zero, zero, zero, one], trans=[F.lit(0.5), F.lit(-0.5), F.lit(20.0)])
+    p, _ = G.projected(cam, [F.col("p_size") / 10.0, F.col("p_retailprice").cast("double") % 7, (F.col("l_partkey") % 11).cast("double")], F.lit(0.05), F.lit(0.01))
+    e = [p[0] - F.col("l_discount").cast("double"), p[1] - F.col("l_tax").cast("double")]
+    return o.groupBy(F.col("l_suppkey").alias("camera")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(e[0] * e[0] + e[1] * e[1]) / F.count(F.lit(1)), 6).alias("mse"))
 
 
-@query("SELECT c_custkey, round((c_acctbal - m) * 10 / w, 6) AS x FROM customer, (SELECT avg(c_acctbal) AS m, max(c_acctbal) - min(c_acctbal) AS w FROM customer) g")
+@query("WITH g AS (SELECT avg(c_acctbal) AS mx, avg(c_custkey) AS my, avg(c_nationkey) AS mz, 10 / greatest(max(c_acctbal) - min(c_acctbal), max(c_custkey) - min(c_custkey), max(c_nationkey) - min(c_nationkey)) AS k FROM customer) SELECT c_custkey, round((c_acctbal - mx) * k, 6) AS x, round((c_custkey - my) * k, 6) AS y, round((c_nationkey - mz) * k, 6) AS z FROM customer, g")
 def normalize_scene(s, d):
+    """Camera centres with their mean at the origin and a largest extent of 10."""
     c = table(s, d, "customer")
-    mean, width = c.agg(F.avg("c_acctbal"), F.max("c_acctbal") - F.min("c_acctbal")).first()
-    return c.select("c_custkey", F.round((F.col("c_acctbal") - mean) * 10 / width, 6).alias("x"))
+    axes = ("c_acctbal", "c_custkey", "c_nationkey")
+    g = c.agg(*(f(x).cast("double") for x in axes for f in (F.avg, F.min, F.max))).first()
+    extent = max((g[3 * i + 2] or 0) - (g[3 * i + 1] or 0) for i in range(3))
+    return c.select("c_custkey", *(F.round((F.col(x) - F.lit(g[3 * i])) * (10 / extent if extent else 1.0), 6).alias(n) for i, (x, n) in enumerate(zip(axes, "xyz", strict=True))))
 
 
 @query("SELECT o_orderkey AS track, count(l_suppkey) FILTER (l_suppkey <> 1) AS refs FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -240,14 +249,15 @@ def greedy_first(s, d):
     return s.createDataFrame([(v, n, i + 1) for i, (v, n) in enumerate(picks)], "view long, n long, pick int")
 
 
+PICKS = "WITH x0 AS (SELECT DISTINCT l_suppkey AS view, l_orderkey AS t FROM lineitem)" + "".join(f", g{k + 1} AS (SELECT view, count(*) AS n, CAST({k + 1} AS INTEGER) AS pick FROM x{k} GROUP BY 1 ORDER BY n DESC, view LIMIT 1), x{k + 1} AS (SELECT * FROM x{k} WHERE t NOT IN (SELECT t FROM x{k} WHERE view IN (SELECT view FROM g{k + 1})))" for k in range(4))
+
+
+@query(PICKS + " SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4")
 def greedy_topk(s, d):
     picks = R.greedy_views(table(s, d, "lineitem"), "l_suppkey", "l_orderkey", 4)
     return s.createDataFrame([(v, n, i + 1) for i, (v, n) in enumerate(picks)], "view long, n long, pick int")
 
 
-QUERIES["greedy_topk"] = greedy_topk
-
-
 @query("SELECT o_orderkey, CAST(coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM (SELECT o_orderkey, o_custkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)")
 def correspondence_offsets(s, d):
     n = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
@@ -275,17 +285,19 @@ def mesh_adjacency(s, d):
     return R.adjacency(faces(s, d))
 
 
-@query("SELECT p_partkey AS vid FROM part WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+@query(f"WITH {FACES} SELECT p_partkey AS vid FROM part WHERE p_partkey NOT IN (SELECT v0 FROM f UNION SELECT v1 FROM f UNION SELECT v2 FROM f)")
 def mesh_unreferenced(s, d):
-    f = table(s, d, "lineitem").select(F.col("l_suppkey").alias("vid")).distinct()
-    return table(s, d, "part").select(F.col("p_partkey").alias("vid")).join(f, "vid", "left_anti")
+    return R.unreferenced(table(s, d, "part").select(F.col("p_partkey").alias("vid")), faces(s, d))
 
 
-@query("WITH c AS (SELECT n_regionkey AS r, count(*) + 1 AS size FROM nation GROUP BY 1) SELECT CAST(n_nationkey AS BIGINT) AS vid, size FROM nation JOIN c ON n_regionkey = r WHERE size > 5")
+@query("WITH n AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS ls FROM lineitem GROUP BY 1) SELECT l_orderkey * 8 + CAST(unnest(ls) AS BIGINT) AS vid FROM n WHERE len(ls) > 4")
 def mesh_components(s, d):
-    comp = tracks_components(s, d)
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 5")
-    return comp.where("node < 100").join(size, "component").select(F.col("node").alias("vid"), "size")
+    """Line items as vertices; each three that follow each other in an order form a face. Parts of four vertices and fewer
+    go."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("vid")).distinct()
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
+    f = li.select(F.col("vid").alias("fid"), F.col("vid").alias("v0"), F.lead("vid", 1).over(w).alias("v1"), F.lead("vid", 2).over(w).alias("v2")).where("v2 is not null")
+    return R.delete_small_components(li.select("vid"), f, 4)
 
 
 @query(f"WITH {FACES}, k AS (SELECT p_partkey AS vid, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_size > 10) SELECT fid, a.n AS v0, b.n AS v1, c.n AS v2 FROM f JOIN k a ON a.vid = v0 JOIN k b ON b.vid = v1 JOIN k c ON c.vid = v2")
@@ -294,9 +306,9 @@ def delete_vertices_fix_faces(s, d):
     return R.renumber(v, faces(s, d), F.col("p_size") <= 10)
 
 
-@query(f"WITH {FACES} SELECT count(*) AS n FROM f WHERE NOT (v0 = v1 AND v0 = v2)")
+@query(f"WITH {FACES} SELECT fid FROM f WHERE NOT (v0 = v1 AND v0 = v2)")
 def invalid_faces(s, d):
-    return faces(s, d).where((F.col("v0") != F.col("v1")) | (F.col("v0") != F.col("v2"))).agg(F.count(F.lit(1)).alias("n"))
+    return R.delete_invalid_faces(faces(s, d)).select("fid")
 
 
 @query(f"WITH {FACES}, {EDGES} SELECT e1, e2, count(*) AS n_faces, min(fid) AS first FROM e GROUP BY 1, 2 HAVING count(*) > 1")
@@ -321,12 +333,13 @@ def aabb_global(s, d):
     return table(s, d, "lineitem").agg(*(f(c).alias(n) for c, a, b in (("l_quantity", "x0", "x1"), ("l_discount", "y0", "y1"), ("l_extendedprice", "z0", "z1")) for f, n in ((F.min, a), (F.max, b))))
 
 
-@query("SELECT l_orderkey, l_linenumber, round((l_quantity - (a + b) / 2) / w, 9) AS x, round((l_extendedprice - (p + q) / 2) / w, 9) AS y FROM lineitem, (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS p, max(l_extendedprice) AS q, greatest(max(l_quantity) - min(l_quantity), max(l_extendedprice) - min(l_extendedprice)) AS w FROM lineitem) g")
+@query("WITH g AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS p, max(l_extendedprice) AS q, min(l_discount) AS u, max(l_discount) AS v FROM lineitem), w AS (SELECT *, greatest(b - a, q - p, v - u) AS w FROM g) SELECT l_orderkey, l_linenumber, round((l_quantity - (a + b) / 2) / w, 9) AS x, round((l_extendedprice - (p + q) / 2) / w, 9) AS y, round((l_discount - (u + v) / 2) / w, 9) AS z FROM lineitem, w")
 def scale_and_center(s, d):
-    li = table(s, d, "lineitem")
-    a, b, p, q = li.agg(F.min("l_quantity"), F.max("l_quantity"), F.min("l_extendedprice"), F.max("l_extendedprice")).first()
-    w = max(b - a, q - p)
-    return li.select("l_orderkey", "l_linenumber", F.round((F.col("l_quantity") - (a + b) / 2) / w, 9).alias("x"), F.round((F.col("l_extendedprice") - (p + q) / 2) / w, 9).alias("y"))
+    """The box's middle at the origin and its largest side 1."""
+    li, axes = table(s, d, "lineitem"), ("l_quantity", "l_extendedprice", "l_discount")
+    g = li.agg(*(f(c).cast("double") for c in axes for f in (F.min, F.max))).first()
+    side = max((g[2 * i + 1] or 0) - (g[2 * i] or 0) for i in range(3)) or 1.0
+    return li.select("l_orderkey", "l_linenumber", *(F.round((F.col(c) - F.lit(((g[2 * i] or 0) + (g[2 * i + 1] or 0)) / 2)) / side, 9).alias(n) for i, (c, n) in enumerate(zip(axes, "xyz", strict=True))))
 
 
 # --- rasters: (line number, supplier) is a grid of summed quantities ---
@@ -384,8 +397,9 @@ def percentile_p10_p90(s, d):
 @query("WITH k AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events) SELECT event_id, value FROM events WHERE value > (SELECT value FROM k WHERE r = CAST(floor(0.75 * n) AS BIGINT) + 1)")
 def conf_filter_percentile(s, d):
     e = table(s, d, "events").select("event_id", "value")
-    cut = R.order_statistics(e, "value", [int(0.75 * e.where("value is not null").count())])[0]
-    return e.where(F.col("value") > cut)
+    n = e.where("value is not null").count()
+    least = R.order_statistics(e, "value", [int(0.75 * n)])[0]
+    return e.where(F.col("value") > F.lit(least))
 
 
 # --- samples and voxels ---
