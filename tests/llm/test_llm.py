@@ -259,9 +259,9 @@ def test_pieces(spark, monkeypatch):
     rng = random.Random(1)
     texts += ["".join(rng.choice(" ▁abé<\n0") for _ in range(rng.randrange(80))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5])], "doc_id long, text string")
-    for common in (pieces.COMMON_CHUNKS, 40, 0):  # 0: every chunk is joined back by position
+    for common, join_rest in ((pieces.COMMON_CHUNKS, False), (40, False), (40, True), (0, True)):
         monkeypatch.setattr(pieces, "COMMON_CHUNKS", common)
-        got = pieces.encode_decode(docs).collect()
+        got = pieces.encode_decode(docs, join_rest=join_rest).collect()
         assert len(got) == len(texts) + 1
         assert {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in got} == {i: (ids := sp.encode(t or ""), sp.decode(ids)) for i, t in enumerate(texts)}
     coded = pieces.encode(documents(spark))

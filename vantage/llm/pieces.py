@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,8 +20,10 @@ from .common import cut, table, worker_store
 MARK = "▁"
 #: A run of markers with the characters up to the next marker; a run at the end stands alone.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
-#: The most frequent chunks, up to this number and length, are broadcast with their ids; others are joined back by position.
-COMMON_CHUNKS, COMMON_CHARS = 200_000, 64
+#: The most frequent chunks, up to this number and length, are broadcast with their ids.
+COMMON_CHUNKS, COMMON_CHARS = 500_000, 64
+#: Ids of a vocabulary up to this size are shared objects in a worker's table.
+NUMBERS = list(range(1 << 16))
 #: Distinct chunks that a task counts before it hands them on.
 HELD_CHUNKS = 200_000
 
@@ -80,33 +83,49 @@ def distinct_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def chunk_table(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """chunk, n, ids: each distinct chunk of the texts, segmented once."""
+def segmented(chunks: DataFrame, model_path: str | None = None) -> DataFrame:
+    """chunk, n and more columns -> with ids: each chunk segmented once."""
     model = read_model(model_path)
     check_model(model)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(sent.value)
-        mark = sp.piece_to_id(MARK)
         for batch in batches:
-            # The library puts the first marker back, but not before nothing.
-            ids = [[mark] if c == MARK else sp.encode(c[1:]) for c in batch.column(0).to_pylist()]
+            ids = [segment(sp, c) for c in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
 
-    return distinct_chunks(docs).mapInArrow(run, "chunk string, n long, ids array<int>")
+    return chunks.select("chunk", "n").mapInArrow(run, "chunk string, n long, ids array<int>")
+
+
+def segment(sp: sentencepiece.SentencePieceProcessor, chunk: str) -> list[int]:
+    # The library puts the first marker back, but not before nothing.
+    return [sp.piece_to_id(MARK)] if chunk == MARK else sp.encode(chunk[1:])
+
+
+def known_chunks(sent) -> dict[str, list[int]]:
+    """The broadcast table of common chunks as a dictionary, kept by the worker while it serves the same table."""
+    kept = worker_store().get("chunks")
+    if kept is None or kept[0] != sent["id"]:
+        t = pa.ipc.open_stream(sent["data"]).read_all()
+        ids, share = t.column("ids").to_pylist(), NUMBERS
+        kept = worker_store()["chunks"] = (sent["id"], dict(zip(t.column("chunk").to_pylist(), ([share[i] for i in own] if not own or max(own) < len(share) else own for own in ids), strict=True)))
+    return kept[1]
 
 
-def _coded(docs: DataFrame, common: dict[str, list[int]], model: bytes | None) -> DataFrame:
-    """doc_id and ids, those of chunks that are not common left out; with a model, the decoding of ids, else the gaps: k1
-    and k2 (a hash of the text), at (places in ids) and gaps (the chunks that belong there)."""
-    # A plain dictionary of at most COMMON_CHUNKS chunks.
-    sent = docs.sparkSession.sparkContext.broadcast((common, model))
-    tail = "decoded string" if model else "k1 long, k2 long, at array<int>, gaps array<string>"
+def _coded(docs: DataFrame, common: pa.Table, model: bytes, whole: bool) -> DataFrame:
+    """doc_id and ids; whole: chunks that are not common are segmented where they stand, and the decoding of ids follows;
+    else they are left out, and the gaps follow: k1 and k2 (a hash of the text), at (places in ids) and gaps (the chunks)."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, common.schema) as writer:
+        writer.write_table(common)
+    # At most COMMON_CHUNKS chunks of COMMON_CHARS characters, with their ids.
+    sent = docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "data": sink.getvalue().to_pybytes(), "model": model})
+    tail = "decoded string" if whole else "k1 long, k2 long, at array<int>, gaps array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own = sent.value
-        known = table.get
+        sp = processor(sent.value["model"])
+        known = known_chunks(sent.value).get
         for batch in batches:
             for start in range(0, batch.num_rows, 500):  # small steps bound the lists of ids
                 part = batch.slice(start, 500)
@@ -115,42 +134,46 @@ def _coded(docs: DataFrame, common: dict[str, list[int]], model: bytes | None) -
                     text, ids, at, gaps = text.as_py(), [], [], []
                     for chunk in chunks_of(text):
                         got = known(chunk)
-                        if got is None:
+                        if got is not None:
+                            ids += got
+                        elif whole:
+                            ids += segment(sp, chunk)
+                        else:
                             at.append(len(ids))
                             gaps.append(chunk)
-                        else:
-                            ids += got
                     rows.append(ids)
-                    if own:
-                        more.append((processor(own).decode(ids),))
+                    if whole:
+                        more.append((sp.decode(ids),))
                     else:
                         h = xxhash.xxh3_128_intdigest((text or "").encode()) if gaps else 0
                         more.append((*np.array([h >> 64, h & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist(), at, gaps))
-                kinds = [pa.string()] if own else [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.int32())), *(pa.array([m[i] for m in more], k) for i, k in enumerate(kinds))], names=["doc_id", "ids", *(["decoded"] if own else ["k1", "k2", "at", "gaps"])])
+                kinds = [pa.string()] if whole else [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.int32())), *(pa.array([m[i] for m in more], k) for i, k in enumerate(kinds))], names=["doc_id", "ids", *(["decoded"] if whole else ["k1", "k2", "at", "gaps"])])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, ids array<int>, {tail}")
 
 
-def encode_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str | None = None, join_rest: bool = False) -> DataFrame:
     """doc_id, ids array<int>, decoded string: the model's ids of the whole text, without begin or end ids, and the library's
     decoding of these ids.
 
-    Each distinct chunk is segmented once (chunk_table). The ids of the COMMON_CHUNKS most frequent ones, of at most
-    COMMON_CHARS characters, are broadcast; those of any others are joined back by text and position, so that frequent
-    chunks meet in no join. Equal texts are filled once. Null and empty texts give an empty array and an empty string; rows
-    are taken as they are, and an empty table gives no rows. The model's content (a fixed few hundred KB) travels with the
-    job, so executors need no file.
+    A table holds the distinct chunks of all texts by their counts. The COMMON_CHUNKS most frequent ones, of at most
+    COMMON_CHARS characters, are segmented once and broadcast with their ids, so that frequent chunks meet in no join.
+    Rarer ones are segmented where they stand, or with join_rest once each too, and their ids are joined back by text and
+    position; both ways give the same ids. Null and empty texts give an empty array and an empty string; rows are
+    taken as they are, and an empty table gives no rows. The model's content (a fixed few hundred KB) travels with the job,
+    so executors need no file.
     """
     model = read_model(model_path)
     docs = docs.select("doc_id", "text")
-    chunks = cut(chunk_table(docs, model_path), "chunks")
+    chunks = distinct_chunks(docs)
+    if join_rest:
+        chunks = cut(segmented(chunks, model_path), "chunks")
     common = chunks.where(F.length("chunk") <= COMMON_CHARS).orderBy(F.desc("n"), "chunk").limit(COMMON_CHUNKS)
-    got = common.select("chunk", "ids").toArrow()
-    known = dict(zip(got.column("chunk").to_pylist(), got.column("ids").to_pylist(), strict=True))
-    if chunks.count() <= len(known):
-        return _coded(docs, known, model)
-    coded = cut(_coded(docs, known, None), "coded")
+    common = (common if join_rest else segmented(common, model_path)).select("chunk", "ids").toArrow()
+    if not join_rest or chunks.count() <= common.num_rows:
+        return _coded(docs, common, model, True)
+    coded = cut(_coded(docs, common, model, False), "coded")
     gaps = coded.where(F.size("gaps") > 0).select("k1", "k2", "gaps").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("gaps").alias("i", "chunk"))
     filled = gaps.join(chunks.select("chunk", F.col("ids").alias("own")), "chunk").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("i", "own"))).alias("filled"))
     whole = coded.where(F.size("gaps") > 0).join(filled, ["k1", "k2"]).select("doc_id", "ids", "at", F.col("filled.own").alias("filled"))
