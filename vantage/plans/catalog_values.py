@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vantage.functions import columns as C
+from vantage.functions import patches as P
 from vantage.operators import images as I
 
 from .common import table
@@ -258,3 +259,30 @@ def image_difference(s, d):
 def image_drawing(s, d):
     """A diagonal and a rectangle drawn into each image."""
     return image_sums(I.on_images(image_rows(s, d), lambda v: I.draw_rectangle(I.draw_line(v, 0, 0, 7, 7, 2.0), 3, 4, 2, 2, 1.0)))
+
+
+# --- patches: ten colour samples in the first 30 values of an embedding against the next 30 ---
+
+SAMPLES = "WITH s AS (SELECT vec_id, CAST(i AS BIGINT) AS i, i % 3 AS c, CAST(embedding[i + 1] AS DOUBLE) AS a, CAST(embedding[i + 31] AS DOUBLE) AS b, 1.0 / (1 + i // 3) AS w FROM embeddings, range(30) r(i)), m AS (SELECT vec_id, c, avg(a) AS ma, avg(b) AS mb, sum(a * b) / sum(b * b) AS k FROM s GROUP BY 1, 2), j AS (SELECT s.*, ma, mb, k FROM s JOIN m ON m.vec_id = s.vec_id AND m.c = s.c)"
+
+
+@query(SAMPLES + " SELECT vec_id, round(sum((a - ma) * (b - mb)) / sqrt(sum(pow(a - ma, 2)) * sum(pow(b - mb, 2))), 6) + 0.0 AS ncc, round(sum(abs(2 * b - a)), 6) AS sad, round(sum(pow(k * b - a, 2)), 6) AS ssd, round(max(k) FILTER (c = 1), 4) + 0.0 AS green, round(sum(w * pow(k * b - a, 2)), 6) AS weighted, round(sum(w * pow(k * b, 2)), 6) AS slope FROM j GROUP BY vec_id")
+def patch_differences(s, d):
+    """Correlation and distances of two patches, with the colour scale that brings them nearest."""
+    a, b = F.slice("embedding", 1, 30), F.slice("embedding", 31, 30)
+    e = table(s, d, "embeddings").select("vec_id", a.alias("a"), b.alias("b"))
+    k = P.color_scale(F.col("a"), F.col("b"))
+    e = e.select("vec_id", "a", "b", *(x.alias(f"k{i}") for i, x in enumerate(k)))
+    two, k = [F.lit(2.0)] * 3, [F.col(f"k{i}") for i in range(3)]
+    weights = F.array(*(F.lit(1.0 / (1 + i)) for i in range(10)))
+    out = {"ncc": P.ncc(F.col("a"), F.col("b")) , "sad": P.sad(F.col("a"), F.col("b"), two), "ssd": P.ssd(F.col("a"), F.col("b"), k), "weighted": P.objective(F.col("a"), F.col("b"), k, weights), "slope": P.derivative_norm(F.col("b"), k, weights)}
+    return e.select("vec_id", *((F.round(c, 6) + 0.0).alias(n) for n, c in out.items()), (F.round("k1", 4) + 0.0).alias("green"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_size % 5 = 0 OR p_retailprice % 10 / 10 < 0.2 THEN 0 ELSE ((p_size / 50.0 + 0.8) / 2 - 0.6) / 0.4 END, 6) + 0.0 AS confidence, round((CASE WHEN p_size < 10 THEN pow(p_size / 10.0, 2) ELSE 1 END) * (CASE WHEN p_retailprice / 500 > 2 THEN 1000 / p_retailprice WHEN p_retailprice / 500 > 1 THEN 1 ELSE p_retailprice / 500 END) * (CASE WHEN p_partkey % 20 < 10 THEN pow(p_partkey % 20 / 10.0, 2) ELSE 1 END), 6) AS benefit FROM part")
+def view_scores(s, d):
+    """Confidences of patches and what further views are worth."""
+    p, size, price = table(s, d, "part"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    conf = P.confidence(F.array(size / 50.0, F.lit(0.8)), 0.6, price % 10 / 10, F.col("p_size") % 5 != 0)
+    benefit = P.view_benefit(size, price, F.lit(500.0), F.array((F.col("p_partkey") % 20).cast("double")))
+    return p.select("p_partkey", (F.round(conf, 6) + 0.0).alias("confidence"), F.round(benefit, 6).alias("benefit"))

@@ -1,0 +1 @@
+"""Streams and resumable stages."""
