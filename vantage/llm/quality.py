@@ -82,7 +82,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 12,
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float, float]:
     """The model of at most max_train labelled documents that are not held out. Null labels, null doc_ids and labels
-    without a document are left out; without both classes the score is a constant."""
+    without a document are left out; of a repeated doc_id the least text counts; without both classes the score is a constant."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))], names=["doc_id", "quality", "f"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"), "text").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
     got = found.mapInArrow(run, "doc_id long, quality int, f array<int>").toArrow().combine_chunks().sort_by("doc_id")
     f = got.column("f").combine_chunks()
     rows = np.split(f.flatten().to_numpy(zero_copy_only=False), np.cumsum(f.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if got.num_rows else []
