@@ -120,8 +120,16 @@ def common_shingles(docs: DataFrame, words: int, parts: int) -> np.ndarray:
         frequent = n > COMMON
         return pa.table({"code": code[frequent].astype(np.int64) + (t.column("part")[0].as_py() << 24), "n": n[frequent]})
 
-    some = docs.select("text").mapInArrow(pack, "part int, seen array<int>").groupBy("part").applyInArrow(count, "code long, n long")
-    return np.sort(some.orderBy(F.desc("n"), "code").limit(LATE).select("code").toArrow().column("code").to_numpy()).view(np.uint64)
+    some = cut(docs.select("text").mapInArrow(pack, "part int, seen array<int>").groupBy("part").applyInArrow(count, "code long, n long"), "frequent")
+    # Counts end at 256, so the table of how many shingles have each is short; of the last count that has room, a share by hash.
+    left, least, edge, share = LATE, 257, -1, 0.0
+    for r in some.groupBy("n").count().orderBy(F.desc("n")).collect():
+        if r["count"] > left:
+            edge, share = r["n"], left / r["count"]
+            break
+        left, least = left - r["count"], r["n"]
+    kept = some.where((F.col("n") >= least) | (F.col("n") == edge) & (F.pmod(F.xxhash64("code"), F.lit(1 << 20)) < share * (1 << 20)))
+    return np.sort(kept.select("code").toArrow().column("code").to_numpy()).view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, words: int, similarity: float, late: np.ndarray, parts: int) -> DataFrame:
