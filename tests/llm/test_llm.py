@@ -166,7 +166,7 @@ def test_near_duplicates_check_every_candidate(spark, monkeypatch):
     got = dict(map(tuple, neartext.near_duplicate_groups(docs).collect()))
     assert len(set(want)) > 5 and [got.get(d, d) for d, _ in rows] == want
     # Many chunks a family, frequent shingles, and fingerprints that are compared within the radius.
-    for name, value in (("CHUNK", 4), ("COMMON", 2), ("SMALL", 1), ("PACK", 100), ("GROUP_ROWS", 5), ("GROUP_SHINGLES", 500)):
+    for name, value in (("CHUNK", 4), ("COMMON", 2), ("SMALL", 1), ("LATE", 7), ("PACK", 100), ("GROUP_ROWS", 5), ("GROUP_SHINGLES", 500)):
         monkeypatch.setattr(neartext, name, value)
     assert dict(map(tuple, neartext.near_duplicate_groups(docs).collect())) == got
 

@@ -83,6 +83,17 @@ def distinct_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
+def least_count(chunks: DataFrame, most: int) -> int:
+    """The least count n that at most `most` chunks reach: from how many chunks have each count, without sorting them."""
+    left, least = most, 2**62
+    for r in chunks.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # a row for each count
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["n"]
+    return least
+
+
 def segmented(chunks: DataFrame, model_path: str | None = None) -> DataFrame:
     """chunk, n and more columns -> with ids: each chunk segmented once."""
     model = read_model(model_path)
@@ -157,7 +168,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, join_rest: boo
     """doc_id, ids array<int>, decoded string: the model's ids of the whole text, without begin or end ids, and the library's
     decoding of these ids.
 
-    A table holds the distinct chunks of all texts by their counts. The COMMON_CHUNKS most frequent ones, of at most
+    A table holds the distinct chunks of all texts by their counts. The most frequent ones, at most COMMON_CHUNKS and of at most
     COMMON_CHARS characters, are segmented once and broadcast with their ids, so that frequent chunks meet in no join.
     Rarer ones are segmented where they stand, or with join_rest once each too, and their ids are joined back by text and
     position; both ways give the same ids. Null and empty texts give an empty array and an empty string; rows are
@@ -166,13 +177,12 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, join_rest: boo
     """
     model = read_model(model_path)
     docs = docs.select("doc_id", "text")
-    chunks = distinct_chunks(docs)
-    if join_rest:
-        chunks = cut(segmented(chunks, model_path), "chunks")
-    common = chunks.where(F.length("chunk") <= COMMON_CHARS).orderBy(F.desc("n"), "chunk").limit(COMMON_CHUNKS)
-    common = (common if join_rest else segmented(common, model_path)).select("chunk", "ids").toArrow()
+    chunks = cut(distinct_chunks(docs), "chunks")
+    short = chunks.where(F.length("chunk") <= COMMON_CHARS)
+    common = segmented(short.where(F.col("n") >= least_count(short, COMMON_CHUNKS)), model_path).select("chunk", "ids").toArrow()
     if not join_rest or chunks.count() <= common.num_rows:
         return _coded(docs, common, model, True)
+    chunks = cut(segmented(chunks, model_path), "segmented")
     coded = cut(_coded(docs, common, model, False), "coded")
     gaps = coded.where(F.size("gaps") > 0).select("k1", "k2", "gaps").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("gaps").alias("i", "chunk"))
     filled = gaps.join(chunks.select("chunk", F.col("ids").alias("own")), "chunk").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("i", "own"))).alias("filled"))
