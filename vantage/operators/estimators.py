@@ -553,3 +553,34 @@ def similarity_transforms(pairs: DataFrame, key: str) -> DataFrame:
     bad = F.isnan(F.get("t", F.lit(0)))
     pick = lambda a, n: F.when(~bad, F.slice("t", a, n))
     return got.select(key, "n", pick(1, 9).alias("rot"), F.when(~bad, F.get("t", F.lit(9))).alias("scale"), pick(11, 3).alias("trans"))
+
+
+def two_view_matching(matches: DataFrame, key: str, least_matches: int = 24, least_inliers: int = 12, rounds: int = 1000, threshold: float = 0.0015, seed: int = 0) -> DataFrame:
+    """matches (key of a pair, i, j, x1, y1, x2, y2) -> key, i, j: those that fit the pair's fundamental matrix, of pairs with
+    enough matches and enough that fit."""
+    counted = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(8, least_matches)).select(key)
+    good = matches.join(counted, key, "left_semi")
+
+    def kernel(c, rng):
+        p, q = two_views(c)
+        _, found = ransac_fundamental(p, q, rng, rounds, threshold)
+        return [{"i": int(c["i"][k]), "j": int(c["j"][k])} for k in found] if len(found) >= max(8, least_inliers) else []
+
+    return solve_groups(good, key, ["i", "j", *MATCH], kernel, "i long, j long", seed)
+
+
+def visible_features(points: DataFrame, cameras: DataFrame, reference: int, low: tuple[float, float, float] | None = None, high: tuple[float, float, float] | None = None) -> DataFrame:
+    """points (point, x, y, z, refs: views) and cameras (view, flen, ppx, ppy, aspect, rot, trans, width, height) -> point, view:
+    points that the reference view and a further one refer to, in both of their frustums (and in the box, if given)."""
+    from vantage.functions import geometry as G
+
+    p = points.where(F.array_contains("refs", reference))
+    if low is not None and high is not None:
+        p = p.where(G.point_box_overlap([F.col(c) for c in "xyz"], [F.lit(c) for c in low], [F.lit(c) for c in high]))
+
+    def seen():
+        cam = G.camera(F.col("flen"), F.col("ppx"), F.col("ppy"), F.col("aspect"), [F.get("rot", F.lit(i)) for i in range(9)], [F.get("trans", F.lit(i)) for i in range(3)])
+        return G.in_frustum(cam, [F.col(c).cast("double") for c in "xyz"], F.col("width"), F.col("height"))
+
+    each = p.select("point", "x", "y", "z", F.explode(F.array_distinct("refs")).alias("view")).join(cameras, "view").where(seen()).select("point", "view")
+    return each.join(each.where(F.col("view") == reference).select("point"), "point", "left_semi").where(F.col("view") != reference)
