@@ -96,10 +96,11 @@ def view_pairs_band(s, d):
     return a.withColumn("k", step).withColumn("v2", F.col("v1") - F.col("k")).join(v.select(F.col("label").alias("v2"), F.col("n").alias("b")), "v2").select("v1", "v2", (F.col("a") * F.col("b")).alias("pairs"))
 
 
-@query("WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) SELECT label, vec_id FROM r WHERE r <= 20")
+@query(MUTUAL.replace("FROM embeddings WHERE", "FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id DESC) AS rank FROM embeddings) WHERE rank <= 100) e WHERE") + " SELECT i, j FROM u")
 def lowres_gate(s, d):
-    r = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
-    return table(s, d, "embeddings").select("label", "vec_id").withColumn("r", r).where("r <= 20").drop("r")
+    """Mutual matches of the 100 features of the largest ids of each view: the limit is the gate's."""
+    ranked = [view(s, d, p).withColumn("size", F.col("id").cast("double")) for p in (0, 1)]
+    return M.lowres_matches(*ranked, "size", 100, 1.0)
 
 
 UNNEST = "u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
