@@ -15,13 +15,13 @@ from vantage.functions import vectors as V
 from vantage.operators import estimators as E
 from vantage.operators import images as I
 from vantage.operators import relational as R
-from vantage.plans import catalog_geometry, catalog_surfaces, catalog_values
+from vantage.plans import catalog_formats, catalog_geometry, catalog_surfaces, catalog_values
 from vantage.plans.queries import QUERIES, SQL
 from vantage.sources import bundles, ply, scenes
 from vantage.sources.writers import write_lines
 
 
-@pytest.mark.parametrize("name", sorted([*catalog_geometry.SQL, *catalog_surfaces.SQL, *catalog_values.SQL]))
+@pytest.mark.parametrize("name", sorted([*catalog_formats.SQL, *catalog_geometry.SQL, *catalog_surfaces.SQL, *catalog_values.SQL]))
 def test_query_matches_sql(spark, name):
     assert compare(spark, SF, QUERIES[name], SQL[name]) == ""
 
