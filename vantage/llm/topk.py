@@ -29,10 +29,18 @@ def quantised(vectors: DataFrame, scale: float) -> DataFrame:
     return vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
 
 
-def aggregate(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every component's rows by value, and the place of every row in them."""
+    order = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(x))[:, None].repeat(x.shape[1], 1), axis=0)
+    return order, rank
+
+
+def aggregate(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row index, score) of the k best rows of x for each query, ties to smaller ids, own row left out.
 
-    Every component is a list sorted by value, read from its top by queries of a positive weight there and from its
+    lists: sorted_lists(x). Every component is a list sorted by value, read from its top by queries of a positive weight there and from its
     bottom by those of a negative one, all lists in step. A row's lower bound puts the list's worst value in place of
     what is not read yet, its upper bound the value that the list stands at. A query stops, with what may still
     qualify, once the bounds of all other rows are below its k-th lower bound; only the rows that some query still
@@ -40,9 +48,7 @@ def aggregate(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k:
     """
     n, dim = x.shape
     k = min(k, n)
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(dim, 1), axis=0)
+    order, rank = lists
     low, high = x[order[0], np.arange(dim)], x[order[-1], np.arange(dim)]
     up, down = np.maximum(q, 0).T, np.minimum(q, 0).T  # weights of reads from the top, from the bottom
     rows, asks = np.arange(n), np.arange(len(q))
@@ -117,8 +123,9 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: float = 1024.0)
             if plain_scores(x, q):
                 raise OverflowError("scores of these vectors may pass 2**53")
             for i in range(0, len(ids), ROWS):
+                lists = sorted_lists(x[i : i + ROWS])
                 for j in range(0, len(q_ids), QUERIES):
-                    a, b, s = aggregate(x[i : i + ROWS], ids[i : i + ROWS], q[j : j + QUERIES], q_ids[j : j + QUERIES], k)
+                    a, b, s = aggregate(x[i : i + ROWS], ids[i : i + ROWS], q[j : j + QUERIES], q_ids[j : j + QUERIES], k, lists)
                     out.append((q_ids[j + a], ids[i + b], s.astype(np.int64)))
         a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
         order = np.lexsort((b, -s, a))
