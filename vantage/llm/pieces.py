@@ -21,9 +21,9 @@ MARK = "▁"
 #: A run of markers with the characters up to the next marker; a run at the end stands alone.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
 #: The most frequent chunks, up to this number and length, are broadcast with their ids.
-COMMON_CHUNKS, COMMON_CHARS = 500_000, 64
-#: Ids of a vocabulary up to this size are shared objects in a worker's table.
-NUMBERS = list(range(1 << 16))
+COMMON_CHUNKS, COMMON_CHARS = 200_000, 64
+#: Ids below this are shared objects in a worker's table.
+NUMBERS = 1 << 16
 #: Distinct chunks that a task counts before it hands them on.
 HELD_CHUNKS = 200_000
 
@@ -118,9 +118,15 @@ def known_chunks(sent) -> dict[str, list[int]]:
     """The broadcast table of common chunks as a dictionary, kept by the worker while it serves the same table."""
     kept = worker_store().get("chunks")
     if kept is None or kept[0] != sent["id"]:
-        t = pa.ipc.open_stream(sent["data"]).read_all()
-        ids, share = t.column("ids").to_pylist(), NUMBERS
-        kept = worker_store()["chunks"] = (sent["id"], dict(zip(t.column("chunk").to_pylist(), ([share[i] for i in own] if not own or max(own) < len(share) else own for own in ids), strict=True)))
+        worker_store().pop("chunks", None)
+        kept, numbers = None, worker_store().setdefault("numbers", list(range(NUMBERS)))
+        table: dict[str, list[int]] = {}
+        for batch in pa.ipc.open_stream(sent["data"]):
+            for at in range(0, batch.num_rows, 5_000):  # small steps, so that few numbers stand beside the shared ones
+                part = batch.slice(at, 5_000)
+                for chunk, ids in zip(part.column("chunk").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                    table[chunk] = [numbers[i] if i < NUMBERS else i for i in ids]
+        kept = worker_store()["chunks"] = (sent["id"], table)
     return kept[1]
 
 
