@@ -87,15 +87,15 @@ def q_round(columns: dict, digits: int | None = 6, rest: str = "FROM t") -> str:
 LIST = "[CAST(x AS DOUBLE) FOR x IN embedding]"
 
 
-@query(f"SELECT vec_id, list_min({LIST}) AS low, list_max({LIST}) AS high, round(list_sum({LIST}), 6) AS total, round(list_sum([abs(x) FOR x IN {LIST}]), 6) AS l1, round(list_product({LIST}[1:6]) * 1e6, 6) AS product, round(sqrt(list_sum([x * x FOR x IN {LIST}])), 6) AS l2, round(list_sum([x * x FOR x IN {LIST}]), 6) AS l2_squared FROM embeddings")
+@query(f"SELECT vec_id, list_min({LIST}) AS low, list_max({LIST}) AS high, round(list_sum({LIST}), 6) + 0.0 AS total, round(list_sum([abs(x) FOR x IN {LIST}]), 6) + 0.0 AS l1, round(list_product({LIST}[1:6]) * 1e6, 6) + 0.0 AS product, round(sqrt(list_sum([x * x FOR x IN {LIST}])), 6) + 0.0 AS l2, round(list_sum([x * x FOR x IN {LIST}]), 6) + 0.0 AS l2_squared FROM embeddings")
 def vector_reductions(s, d):
     e = F.col("embedding")
     return table(s, d, "embeddings").select("vec_id", V.array_min(e).alias("low"), V.array_max(e).alias("high"), *named({"total": V.array_sum(e), "l1": V.array_abs_sum(e), "product": V.array_product(F.slice(e, 1, 6)) * 1e6, "l2": V.array_norm(e), "l2_squared": V.array_square_norm(e)}))
 
 
 @query(
-    f"WITH t AS (SELECT vec_id, {LIST} AS v, {LIST}[1:8] AS a, {LIST}[9:16] AS b FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum([x * x FOR x IN v])), 6) AS unit0, round(abs(v[2]), 6) AS abs1, round(-v[3], 6) AS neg2, "
-    "round(list_sum([a[i] * b[i] FOR i IN range(1, 9)]), 6) AS dot, round(a[8] * b[8], 6) AS prod7, round(a[1] / b[1], 4) AS ratio0, list_max([abs(a[i] - b[i]) FOR i IN range(1, 9)]) <= 0.3 AS similar, false AS has_nan, round(2 * v[5] + 1, 6) AS applied, list_sort(v)[1] AS first, list_reverse_sort(v)[2] AS second, a[3] AS moved, a[8] AS source0 FROM t"
+    f"WITH t AS (SELECT vec_id, {LIST} AS v, {LIST}[1:8] AS a, {LIST}[9:16] AS b FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum([x * x FOR x IN v])), 6) + 0.0 AS unit0, round(abs(v[2]), 6) + 0.0 AS abs1, round(-v[3], 6) + 0.0 AS neg2, "
+    "round(list_sum([a[i] * b[i] FOR i IN range(1, 9)]), 6) + 0.0 AS dot, round(a[8] * b[8], 6) + 0.0 AS prod7, round(a[1] / b[1], 4) + 0.0 AS ratio0, list_max([abs(a[i] - b[i]) FOR i IN range(1, 9)]) <= 0.3 AS similar, false AS has_nan, round(2 * v[5] + 1, 6) + 0.0 AS applied, list_sort(v)[1] AS first, list_reverse_sort(v)[2] AS second, a[3] AS moved, a[8] AS source0 FROM t"
 )
 def vector_maps(s, d):
     e, a, b = F.col("embedding"), F.slice("embedding", 1, 8), F.slice("embedding", 9, 8)
@@ -247,7 +247,7 @@ def q_same_side(u, v) -> str:
 GAP = q_cross(B, D)
 
 
-@query(TERMS + f" SELECT vec_id, round(CASE WHEN {q_same_side(A, C)} AND {q_same_side(C, D)} AND {q_same_side(D, A)} THEN {HIT} ELSE 0 END, 4) AS t, round({q_dot(q_cross(q_sub(C, A), D), GAP)} / {q_dot(GAP, GAP)}, 4) AS near1, round({q_dot(q_cross(q_sub(C, A), B), GAP)} / {q_dot(GAP, GAP)}, 4) AS near2 FROM t WHERE {q_dot(GAP, GAP)} > 0.0001 AND abs({q_dot(B, NORMAL)}) > 0.001")
+@query(TERMS + f" SELECT vec_id, round(CASE WHEN {q_same_side(A, C)} AND {q_same_side(C, D)} AND {q_same_side(D, A)} THEN {HIT} ELSE 0 END, 4) + 0.0 AS t, round({q_dot(q_cross(q_sub(C, A), D), GAP)} / {q_dot(GAP, GAP)}, 4) + 0.0 AS near1, round({q_dot(q_cross(q_sub(C, A), B), GAP)} / {q_dot(GAP, GAP)}, 4) + 0.0 AS near2 FROM t WHERE {q_dot(GAP, GAP)} > 0.0001 AND abs({q_dot(B, NORMAL)}) > 0.001")
 def ray_hits(s, d):
     a, b, c, e = (at(3 * i) for i in range(4))
     hit = G.ray_triangle_intersect([F.lit(0.0)] * 3, b, a, c, e)
@@ -487,7 +487,7 @@ def fundamental_matrices(s, d):
     return got.select("label", "inliers", (F.abs(V.determinant(V.parts(F.col("f"), 9), 3)) < 1e-9).alias("rank_two"))
 
 
-@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) AS x, round(CAST(embedding[2] AS DOUBLE), 4) AS y, round(CAST(embedding[3] AS DOUBLE), 4) AS z, 1 AS outliers FROM embeddings")
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS x, round(CAST(embedding[2] AS DOUBLE), 4) + 0.0 AS y, round(CAST(embedding[3] AS DOUBLE), 4) + 0.0 AS z, 1 AS outliers FROM embeddings")
 def triangulated_tracks(s, d):
     """Each point as three cameras see it, one of them wrongly."""
     p = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]

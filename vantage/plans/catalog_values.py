@@ -84,7 +84,7 @@ def colors(s, d):
     return table(s, d, "part").select("p_partkey", (F.col("p_size").cast("double") / 50).alias("r"), ((F.col("p_retailprice").cast("double") % 100) / 100).alias("g"), ((F.col("p_partkey") % 97).cast("double") / 97).alias("b"))
 
 
-@query(RGB + " SELECT p_partkey, round(exp(-r / 0.5), 9) AS xx, round(exp(-(r * r / 0.5 + g * g / 2)), 9) AS two, CASE WHEN 9 * r - 4 > 0 THEN floor(9 * r - 3.5) ELSE ceil(9 * r - 4.5) END AS rounded, round(0.25 * r + 0.75 * g, 9) AS mixed, CAST(floor(255 * (0.25 * r + 0.75 * g) + 0.5) AS INTEGER) AS byte, round(pow(r, 5), 9) AS power, CASE WHEN r * 100 - 60 < 3 THEN 63 - r * 100 WHEN r * 100 - 60 > 20 THEN 100 - r * 100 ELSE r * 100 - 60 END AS mirrored FROM t")
+@query(RGB + " SELECT p_partkey, round(exp(-r / 0.5), 9) AS xx, round(exp(-(r * r / 0.5 + g * g / 2)), 9) AS two, CASE WHEN 9 * r - 4 > 0 THEN floor(9 * r - 3.5) ELSE ceil(9 * r - 4.5) END + 0.0 AS rounded, round(0.25 * r + 0.75 * g, 9) AS mixed, CAST(floor(255 * (0.25 * r + 0.75 * g) + 0.5) AS INTEGER) AS byte, round(pow(r, 5), 9) AS power, CASE WHEN r * 100 - 60 < 3 THEN 63 - r * 100 WHEN r * 100 - 60 > 20 THEN 100 - r * 100 ELSE r * 100 - 60 END AS mirrored FROM t")
 def scalar_functions(s, d):
     r, g = F.col("r"), F.col("g")
     out = {"xx": F.round(C.gaussian_xx(r, 0.5), 9), "two": F.round(C.gaussian_2d(r, g, 0.5, 1.0), 9), "rounded": C.round_half_away(9 * r - 4), "mixed": F.round(C.interpolate([r, g], [0.25, 0.75]), 9), "byte": C.interpolate([255 * r, 255 * g], [0.25, 0.75], True), "power": F.round(C.fastpow(r, 5), 9), "mirrored": C.bound_mirror(r * 100 - 60, 3, 20)}
@@ -102,8 +102,8 @@ def pixel_values(s, d):
 
 
 @query(
-    RGB + " SELECT p_partkey, round(3.2410 * r - 1.5374 * g - 0.4986 * b, 6) AS red, round(-0.9692 * r + 1.8760 * g + 0.0416 * b, 6) AS green, round(0.0556 * r - 0.2040 * g + 1.0570 * b, 6) AS blue, round(-0.168736 * r - 0.331264 * g + 0.5 * b + 0.5, 6) AS cb, round(0.5 * r - 0.418688 * g - 0.081312 * b + 0.5, 6) AS cr, round(r + 1.402 * (b - 0.5), 6) AS yr, round(r - 0.34414 * (g - 0.5) - 0.71414 * (b - 0.5), 6) AS yg, "
-    "round(CASE WHEN g = 0 THEN 0 ELSE r * b / g END, 4) AS x, round(CASE WHEN g = 0 THEN 0 ELSE b END, 6) AS y, round(CASE WHEN g = 0 THEN 0 ELSE (1 - r - g) * b / g END, 4) AS z, round(b * 3, 6) AS grey, CASE WHEN b < 0.2 THEN 255 WHEN b > 0.8 THEN 0 ELSE CAST(floor(pow((b - 0.2) / (0.8 - 0.2), 0.5) * 255 + 0.5) AS INTEGER) END AS toned FROM t"
+    RGB + " SELECT p_partkey, round(3.2410 * r - 1.5374 * g - 0.4986 * b, 6) + 0.0 AS red, round(-0.9692 * r + 1.8760 * g + 0.0416 * b, 6) + 0.0 AS green, round(0.0556 * r - 0.2040 * g + 1.0570 * b, 6) + 0.0 AS blue, round(-0.168736 * r - 0.331264 * g + 0.5 * b + 0.5, 6) + 0.0 AS cb, round(0.5 * r - 0.418688 * g - 0.081312 * b + 0.5, 6) + 0.0 AS cr, round(r + 1.402 * (b - 0.5), 6) + 0.0 AS yr, round(r - 0.34414 * (g - 0.5) - 0.71414 * (b - 0.5), 6) + 0.0 AS yg, "
+    "round(CASE WHEN g = 0 THEN 0 ELSE r * b / g END, 4) + 0.0 AS x, round(CASE WHEN g = 0 THEN 0 ELSE b END, 6) + 0.0 AS y, round(CASE WHEN g = 0 THEN 0 ELSE (1 - r - g) * b / g END, 4) + 0.0 AS z, round(b * 3, 6) + 0.0 AS grey, CASE WHEN b < 0.2 THEN 255 WHEN b > 0.8 THEN 0 ELSE CAST(floor(pow((b - 0.2) / (0.8 - 0.2), 0.5) * 255 + 0.5) AS INTEGER) END AS toned FROM t"
 )
 def color_spaces(s, d):
     r, g, b = F.col("r"), F.col("g"), F.col("b")
@@ -120,7 +120,7 @@ def color_spaces(s, d):
 
 SIZE = 8
 PIXELS = "WITH p AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1) // 8 AS y, (generate_subscripts(embedding, 1) - 1) % 8 AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
-SUMS = "SELECT vec_id, count(*) AS pixels, round(sum(v * (1 + x + 3 * y)), 4) AS total FROM {} GROUP BY vec_id"
+SUMS = "SELECT vec_id, count(*) AS pixels, round(sum(v * (1 + x + 3 * y)), 4) + 0.0 AS total FROM {} GROUP BY vec_id"
 
 
 def image_rows(s, d):
@@ -150,7 +150,7 @@ def image_sums(images):
             for r in b.to_pylist():
                 v = I.array_of(r)[..., 0]
                 n.append(v.size)
-                total.append(round(float((v * (1 + np.arange(v.shape[1]) + 3 * np.arange(v.shape[0])[:, None])).sum()), 4))
+                total.append(round(float((v * (1 + np.arange(v.shape[1]) + 3 * np.arange(v.shape[0])[:, None])).sum()), 4) + 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total)], names=["vec_id", "pixels", "total"])
 
     return images.mapInArrow(run, f"vec_id {dict(images.dtypes)['vec_id']}, pixels long, total double")
