@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -294,6 +297,28 @@ def uppercase(s: Column) -> Column:
     return F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@cache
+def case_pairs(upper: bool) -> tuple[str, str]:
+    """Letters and what each becomes alone: one for one (sharp s has its own capital), whatever stands beside it."""
+    pairs = []
+    for c in map(chr, (k for k in range(sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF)):
+        whole = c.upper() if upper else c.lower()
+        if len(whole) > 1:
+            whole = (c.title() if len(c.title()) == 1 else c) if upper else whole[0]
+        pairs.append((c, "\u1e9e" if upper and c == "\xdf" else whole))
+    return tuple("".join(x) for x in zip(*(p for p in pairs if p[0] != p[1]), strict=True))
+
+
+def lower_letters(s: Column) -> Column:
+    """Each letter of any script by itself in lower case: the number of characters stays, unlike Spark's lower."""
+    return F.translate(s, *case_pairs(False))
+
+
+def upper_letters(s: Column) -> Column:
+    """Each letter of any script by itself in upper case: the number of characters stays, unlike Spark's upper."""
+    return F.translate(s, *case_pairs(True))
+
+
 def left(s: Column, n: int) -> Column:
     return F.left(s, F.lit(n))
 

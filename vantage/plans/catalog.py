@@ -508,7 +508,7 @@ def path_basename(s, d):
 
 @query("SELECT b.item_id, regexp_replace(b.text, '[ \\t]+', ' ', 'g') AS s, lower(b.text) AS low, upper(substr(b.text, 1, 4)) AS up FROM benchmark b")
 def normalize_text(s, d):
-    return table(s, d, "benchmark").select("item_id", C.normalize_spaces(F.col("text")).alias("s"), F.lower("text").alias("low"), F.upper(F.left("text", F.lit(4))).alias("up"))
+    return table(s, d, "benchmark").select("item_id", C.normalize_spaces(F.col("text")).alias("s"), C.lower_letters(F.col("text")).alias("low"), C.upper_letters(F.left("text", F.lit(4))).alias("up"))
 
 
 RGB = "c AS (SELECT p_partkey, p_size / 50.0 AS r, p_retailprice / 3000.0 AS g, (p_partkey % 256) / 255.0 AS b FROM part)"
