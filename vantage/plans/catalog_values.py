@@ -87,7 +87,7 @@ def colors(s, d):
 @query(RGB + " SELECT p_partkey, round(exp(-r / 0.5), 9) AS xx, round(exp(-(r * r / 0.5 + g * g / 2)), 9) AS two, CASE WHEN 9 * r - 4 > 0 THEN floor(9 * r - 3.5) ELSE ceil(9 * r - 4.5) END + 0.0 AS rounded, round(0.25 * r + 0.75 * g, 9) AS mixed, CAST(floor(255 * (0.25 * r + 0.75 * g) + 0.5) AS INTEGER) AS byte, round(pow(r, 5), 9) AS power, CASE WHEN r * 100 - 60 < 3 THEN 63 - r * 100 WHEN r * 100 - 60 > 20 THEN 100 - r * 100 ELSE r * 100 - 60 END AS mirrored FROM t")
 def scalar_functions(s, d):
     r, g = F.col("r"), F.col("g")
-    out = {"xx": F.round(C.gaussian_xx(r, 0.5), 9), "two": F.round(C.gaussian_2d(r, g, 0.5, 1.0), 9), "rounded": C.round_half_away(9 * r - 4), "mixed": F.round(C.interpolate([r, g], [0.25, 0.75]), 9), "byte": C.interpolate([255 * r, 255 * g], [0.25, 0.75], True), "power": F.round(C.fastpow(r, 5), 9), "mirrored": C.bound_mirror(r * 100 - 60, 3, 20)}
+    out = {"xx": F.round(C.gaussian_xx(r, 0.5), 9), "two": F.round(C.gaussian_2d(r, g, 0.5, 1.0), 9), "rounded": C.round_half_away(9 * r - 4), "mixed": F.round(C.interpolate([r, g], [0.25, 0.75]), 9), "byte": C.interpolate([255 * C.interpolate([r, g], [0.25, 0.75])], [1.0], True), "power": F.round(C.fastpow(r, 5), 9), "mirrored": C.bound_mirror(r * 100 - 60, 3, 20)}
     return colors(s, d).select("p_partkey", *(c.alias(n) for n, c in out.items()))
 
 
