@@ -43,7 +43,9 @@ def text_numbers(s, d):
     "SELECT o_orderkey, (CASE WHEN v >= 10 THEN CAST(CAST(round_even(v, 0) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', v) END) || (CASE WHEN n < 1000 THEN ' B' WHEN n < 1024000 THEN ' KB' WHEN n < 1048576000 THEN ' MB' ELSE ' GB' END) AS size FROM v WHERE abs(v * 20 - round(v * 20)) > 0.001"
 )
 def size_texts(s, d):
-    n = F.col("o_orderkey").cast("long") * F.col("o_orderkey") * (F.col("o_custkey") + 1)
+    key, customer = F.col("o_orderkey").cast("decimal(20,0)"), F.col("o_custkey").cast("decimal(20,0)") + 1
+    # products beyond 64 bits are exact to 38 digits; past those the double is as near as the text can show
+    n = F.coalesce(F.try_multiply(F.try_multiply(key, key), customer).cast("double"), key.cast("double") * key.cast("double") * customer.cast("double"))
     v = F.when(n < 1000, n * 1.0).when(n < 1024000, n / 1024.0).when(n < 1048576000, n / 1048576.0).otherwise(n / 1073741824.0)
     return table(s, d, "orders").where(F.abs(v * 20 - F.round(v * 20)) > 0.001).select("o_orderkey", C.size_text(n).alias("size"))
 
